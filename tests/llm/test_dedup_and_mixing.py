@@ -108,6 +108,26 @@ def test_simhash_against_brute_force(spark):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in found} == {i: (f"{prints[i]:016x}", expected[i]) for i in prints}
 
 
+def test_simhash_near_dedup_keeps_one_of_a_group(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, groups = [], []
+    for g in range(30):
+        words, members = fresh(200), []
+        for k in range(4):
+            own = list(words)
+            for at in rng.sample(range(200), min(k, 3)):
+                own[at] = "edit"
+            members.append(len(rows))
+            rows.append((len(rows), " ".join(own)))
+        groups.append(members)
+    rows += [(1000 + i, " ".join(fresh(150))) for i in range(40)] + [(None, "same words here again and again"), (None, "same words here again and again"), (5000, "twice the same id one"), (5000, "twice the same id one")]
+    kept = [r["doc_id"] for r in simhash.near_dedup(frame(spark, rows)).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted([m[0] for m in groups] + [1000 + i for i in range(40)] + [5000])
+    assert kept.count(None) == 1
+    assert simhash.near_dedup(frame(spark, [])).count() == 0
+
+
 def test_simhash_large_buckets_are_split_without_losing_links(spark, monkeypatch):
     rng = random.Random(3)
     base = rng.getrandbits(64)

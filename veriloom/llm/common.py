@@ -22,16 +22,18 @@ def ascii_lower(column) -> F.Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of df in the folder that spark.checkpoint.dir names; where that is unset, as in tests, in a temporary one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where that is unset, as in tests, a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriloom-checkpoints-"))
-    return df.checkpoint()
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriloom-checkpoints-"))
+    return context.getCheckpointDir()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of df."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

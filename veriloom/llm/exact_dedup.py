@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,28 +73,33 @@ def may_contain(keys: np.ndarray, seed: int, segment: int, segments: int, table:
     return np.bitwise_xor.reduce(np.frombuffer(table, np.uint8)[_slots(h, segment, segments)], axis=0) == _mark(h)
 
 
-def _filter_of_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    seed, segment, segments, slots = build_filter(rows["key"].to_numpy(np.int64).view(np.uint64))
-    return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "seed": seed, "segment": segment, "segments": segments, "slots": [slots]})
+def _keys(rows: pa.Table) -> np.ndarray:
+    return rows["key"].to_numpy().astype(np.int64).view(np.uint64)
 
 
-def _screen(incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    if not len(filters) or not len(incoming):
-        return incoming.iloc[:0]
-    f = filters.iloc[0]
-    return incoming[may_contain(incoming["key"].to_numpy(np.int64).view(np.uint64), int(f["seed"]), int(f["segment"]), int(f["segments"]), f["slots"])]
+def _filter_of_bucket(rows: pa.Table) -> pa.Table:
+    seed, segment, segments, slots = build_filter(_keys(rows))
+    kinds = {"bucket": pa.int32(), "seed": pa.int64(), "segment": pa.int64(), "segments": pa.int64(), "slots": pa.binary()}
+    return pa.table({k: pa.array([v], kind) for (k, kind), v in zip(kinds.items(), (rows["bucket"][0].as_py(), seed, segment, segments, slots))})
+
+
+def _screen(incoming: pa.Table, filters: pa.Table) -> pa.Table:
+    if not filters.num_rows or not incoming.num_rows:
+        return incoming.slice(0, 0)
+    f = filters.to_pylist()[0]
+    return incoming.filter(pa.array(may_contain(_keys(incoming), f["seed"], f["segment"], f["segments"], f["slots"])))
 
 
 def snapshot_filters(digests: DataFrame, buckets: int) -> DataFrame:
     """One filter for each bucket of the distinct digests (column key) of an immutable snapshot."""
     keyed = digests.select("key").distinct().withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    return keyed.groupBy("bucket").applyInPandas(_filter_of_bucket, "bucket int, seed long, segment long, segments long, slots binary")
+    return keyed.groupBy("bucket").applyInArrow(_filter_of_bucket, "bucket int, seed long, segment long, segments long, slots binary")
 
 
 def screened(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     """The distinct incoming digests that the filters let through: all that the snapshot holds, and about 0.4 % of the others."""
     keyed = digests.select("key").distinct().withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "key long, bucket int").select("key")
+    return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_screen, "key long, bucket int").select("key")
 
 
 def mark_copies(docs: DataFrame, incoming: F.Column | None = None) -> DataFrame:

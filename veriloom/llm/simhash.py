@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,32 +18,43 @@ from .common import checkpointed, components
 TREE_SIZE = 4096
 #: Fingerprints that a bucket should hold on average.
 BUCKET_MEAN = 48
+#: Bits of a wide fingerprint. Texts whose sets of shingles are 0.8 alike differ in FLIPPED of them; WIDE_RADIUS bits are allowed.
+WIDE, FLIPPED, WIDE_RADIUS, RECALL = 512, 0.14, 88, 0.98
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Lower-cases A-Z and splits at ASCII blanks. A bit is set if more than half of the shingles' XXH64 (seed 42) have it; no words: 0."""
+def fingerprint(text: str | None, shingle: int, parts: int = 0) -> bytes:
+    """64 bits, or 128 a part. Lower-cases A-Z and splits at ASCII blanks. A bit is set if more than half of the shingles' hashes have it; no words: 0.
+
+    The hash is XXH64 with seed 42 for 64 bits; for more it is XXH3-128, with seed 42 for the first part, 43 for the next, and so on.
+    """
     words = (text or "").encode().lower().split()
+    digest, width = (xxhash.xxh3_128_digest, 16) if parts else (xxhash.xxh64_digest, 8)
     if not words:
-        return 0
+        return bytes(width * (parts or 1))
     line = b" ".join(words)
     if len(words) <= shingle:
-        digests = xxhash.xxh64_digest(line, 42)
+        shingles = [line]
     else:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths + 1) - 1
-        digest = xxhash.xxh64_digest
-        digests = b"".join([digest(line[i:j], 42) for i, j in zip((ends - lengths).tolist(), ends[shingle - 1 :].tolist())])
-    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(rows), 65536):
-        votes += np.unpackbits(rows[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(rows)).tobytes(), "big")
+        shingles = [line[i:j] for i, j in zip((ends - lengths).tolist(), ends[shingle - 1 :].tolist())]
+    out = []
+    for seed in range(42, 42 + (parts or 1)):
+        rows = np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, width)
+        votes = np.zeros(8 * width, np.int64)
+        for at in range(0, len(rows), 65536):
+            votes += np.unpackbits(rows[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * votes > len(rows)).tobytes())
+    return b"".join(out)
+
 
+def fingerprint_column(shingle: int, parts: int = 0):
+    """long for 64 bits, binary for parts."""
 
-def fingerprint_column(shingle: int):
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+    @F.arrow_udf("binary" if parts else "long")
+    def simhash(texts: pa.Array) -> pa.Array:
+        found = [fingerprint(t, shingle, parts) for t in texts.to_pylist()]
+        return pa.array(found, pa.binary()) if parts else pa.array(np.frombuffer(b"".join(found), ">u8").astype(np.uint64).view(np.int64))
 
     return simhash
 
@@ -108,7 +119,12 @@ def _links_of_shard(own: list[int], others: list[int], radius: int) -> list[tupl
     return out
 
 
-def _links(radius: int):
+def _links(radius: int, wide: bool):
+    read = (lambda column: [int.from_bytes(x, "big") for x in column.to_pylist()]) if wide else (lambda column: column.to_numpy().view(np.uint64).tolist())
+
+    def written(values):
+        return pa.array([v.to_bytes(WIDE // 8, "big") for v in values], pa.binary()) if wide else pa.array(np.array(values, np.uint64).view(np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows are sorted by shard; one shard is held at a time."""
         key, own, others, out = None, [], [], []
@@ -120,12 +136,12 @@ def _links(radius: int):
             others.clear()
 
         def drained():
-            a = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+            a, b = zip(*out)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([written(a), written(b)], ["a", "b"])
 
         for batch in batches:
-            for shard, value, side in zip(batch.column("shard").to_pylist(), batch.column("fp").to_numpy().view(np.uint64).tolist(), batch.column("side").to_pylist()):
+            for shard, value, side in zip(batch.column("shard").to_pylist(), read(batch.column("fp")), batch.column("side").to_pylist()):
                 if shard != key:
                     flush()
                     key = shard
@@ -157,16 +173,41 @@ def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def sampled_bits(n: int) -> list[np.ndarray]:
+    """Tables of bit places of a wide fingerprint, from a fixed seed: enough that two documents which differ in FLIPPED of the bits agree in all
+    places of one table with probability RECALL. A table has as many places as spread n random values to BUCKET_MEAN a bucket."""
+    k = max(6, math.ceil(math.log2(max(n, 1) / BUCKET_MEAN + 1)))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - FLIPPED) ** k))
+    rng = np.random.default_rng(12345)
+    return [rng.choice(WIDE, k, replace=False) for _ in range(tables)]
+
+
+def _place(tables: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("fp")
+            bits = np.unpackbits(np.frombuffer(b"".join(held.to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
+            for i, places in enumerate(tables):
+                own = bits[:, places].astype(np.int64) @ (1 << np.arange(len(places), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([held, pa.array((np.int64(i) << np.int64(48)) + own)], ["fp", "bucket"])
+
+    return run
+
+
 def linked(fingerprints: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column fp) whose distance is within the radius; not all pairs.
+    """Links (a, b) that connect distinct fingerprints (column fp) whose distance is within the radius; not all pairs.
 
-    Buckets of fingerprints that agree on a mask are the shards of the search, each with its own BK-tree. A bucket over
-    TREE_SIZE is dealt out to several trees, and each of its fingerprints is sent to all trees of its own bucket.
+    64-bit fingerprints are placed in buckets by all masks of block_masks, so no link is lost; wide ones by sampled_bits, which
+    lose few (RECALL). Buckets are the shards of the search, each with its own BK-tree. A bucket over TREE_SIZE is dealt out
+    to several trees, and each of its fingerprints is sent to all trees of its own bucket.
     """
     n = fingerprints.count()
-    masks = block_masks(n, radius)
-    each = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("m"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(masks)]))
-    placed = fingerprints.select("fp", each.alias("e")).select("fp", F.xxhash64("e.m", "e.v").alias("bucket"))
+    wide = dict(fingerprints.dtypes)["fp"] == "binary"
+    if wide:
+        placed = fingerprints.mapInArrow(_place(sampled_bits(n)), "fp binary, bucket long")
+    else:
+        each = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("m"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(block_masks(n, radius))]))
+        placed = fingerprints.select("fp", each.alias("e")).select("fp", F.xxhash64("e.m", "e.v").alias("bucket"))
     big = placed.groupBy("bucket").count().where(F.col("count") > TREE_SIZE).select("bucket", F.ceil(2 * F.col("count") / TREE_SIZE).cast("int").alias("trees"))
     placed = placed.join(big, "bucket", "left")
     small = placed.where("trees is null").select(F.col("bucket").alias("shard"), "fp", F.lit(0).alias("side"))
@@ -174,7 +215,8 @@ def linked(fingerprints: DataFrame, radius: int) -> DataFrame:
     sent = placed.where("trees is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
     split = sent.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "fp", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
     dealt = small.union(split).repartition("shard").sortWithinPartitions("shard", "side", "fp")
-    return dealt.mapInArrow(_links(radius), "a long, b long")
+    kind = "binary" if wide else "long"
+    return dealt.mapInArrow(_links(radius, wide), f"a {kind}, b {kind}")
 
 
 def group_near_copies(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -196,5 +238,19 @@ def labelled(marked: DataFrame, radius: int) -> DataFrame:
     inside = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "doc", "tops", F.coalesce("root", "fp").alias("root"))
     best = F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "tops")).alias("best")
     names = inside.groupBy("root").agg(best).select("root", F.col("best.doc").alias("component_id"), F.col("best.tops").alias("_tops"))
-    labels = inside.join(names, "root").select(F.col("fp").alias("_fp"), "component_id", "_tops")
+    labels = inside.join(names, "root").select(F.col("fp").alias("_fp"), "component_id", "_tops", F.col("root").alias("_root"))
     return marked.join(labels, "_fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """One row of each group of near copies, that with the smallest doc_id, with the columns of docs.
+
+    Shingles of five words and a similarity of 0.8: at this similarity about 9 of 64 bits differ, 4 at most in hardly any pair, so
+    the fingerprints are WIDE bits here and the radius is in proportion. Rows of a group that all lack an id leave one row too.
+    """
+    marked = docs.drop("_fp").withColumn("_fp", fingerprint_column(shingle, WIDE // 128)("text"))
+    found = labelled(marked, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if found.where("_tops > 1").isEmpty():
+        return found.select(*docs.columns)
+    again = found.where("_tops > 1").dropDuplicates(["component_id", "_root"])
+    return found.where("_tops = 1").unionByName(again).select(*docs.columns)
