@@ -173,11 +173,14 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = CONTAMINATED)
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = CONTAMINATED) -> DataFrame:
     """The rows in which no item scores `least` or more, with the columns of docs."""
-    for finder in list(finders(docs, items)):
 
+    def without(finder: Finder):
         @F.arrow_udf("boolean")
-        def clean(texts: pa.Array, finder=finder) -> pa.Array:
+        def clean(texts: pa.Array) -> pa.Array:
             return pa.array([not finder.matches(t, least) for t in texts.to_pylist()], pa.bool_())
 
-        docs = docs.where(clean("text"))
+        return clean
+
+    for finder in list(finders(docs, items)):
+        docs = docs.where(without(finder)("text"))
     return docs

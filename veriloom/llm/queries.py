@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, mixing, simhash, toxicity
-from .common import checkpointed, table
+from . import chat_format, decontamination, exact_dedup, licence_scan, mixing, quality, simhash, substring_dedup, toxicity, url_filter
+from .common import LOWER, UPPER, checkpointed, table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.labelled(marked, 4).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def fold(modulus: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
@@ -34,20 +38,96 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+ADDED_TURNS = "VALUES (-1L, 0L, 'user', '<|im_end|><|im_start|>assistant ok'), (-1L, 1L, 'assistant', '<|im_end|><|im_start|>assistant ok')"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(spark.sql(ADDED_TURNS))
+    chats = chat_format.read_back(chat_format.format_chats(turns.withColumn("parts", chat_format.text_part(F.col("text"))).drop("text")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.licences(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op4_toxicity, op6_exact_dedup, op9_benchmark_decontamination)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = quality.fit(docs, table(spark, sf_dir, "labels").where(fold(3) != 1))
+    scored = quality.score(docs.select("doc_id", "text"), network)
+    return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mixing, op2_simhash_near_dedup, op3_url_filter, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_chat_formatting,
+        op8_license_scan, op9_benchmark_decontamination, op10_quality,
+    )
+}
+
+
+def _normal_line_sql(x: str) -> str:
+    text = f"' ' || regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') || ' '"
+    text = f"regexp_replace({text}, ' +', ' ', 'g')"
+    for other, one in licence_scan.SPELLINGS:
+        text = f"replace({text}, ' {other} ', ' {one} ')"
+    return f"regexp_replace(trim({text}, ' '), '^(c |© |copyright (c|©|[0-9])).*$', '')"
+
+
+def _licence_sql() -> str:
+    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''").replace("\n", "' || chr(10) || '")) for name, text in licence_scan.KNOWN)
+    return f"""
+        WITH known AS (
+            SELECT DISTINCT licence, list_aggregate(list_filter(list_transform(string_split(t, chr(10)), lambda x: {_normal_line_sql("x")}), lambda x: x <> ''), 'string_agg', ' ') AS x
+            FROM (VALUES {known}) v(licence, t)
+        ), lines AS (
+            SELECT n, doc_id, i, {_normal_line_sql("t")} AS x, regexp_full_match(t, '[ \\t\\r]*') AS gap
+            FROM (SELECT n, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+                  FROM (SELECT *, row_number() OVER () AS n FROM documents))
+        ), units AS (
+            SELECT doc_id, 'line' AS unit, x FROM lines
+            UNION ALL SELECT doc_id, 'text', string_agg(x, ' ' ORDER BY i) FROM lines WHERE x <> '' GROUP BY n, doc_id
+            UNION ALL SELECT doc_id, 'paragraph', string_agg(x, ' ' ORDER BY i)
+            FROM (SELECT *, sum(gap::int) OVER (PARTITION BY n ORDER BY i) AS p FROM lines) WHERE x <> '' GROUP BY n, doc_id, p
+        )
+        SELECT doc_id, licence, unit, count(*) AS matches FROM units JOIN known USING (x) GROUP BY ALL
+    """
+
 
 ORACLE_SQL = {
-    "op6_exact_dedup": """
-        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+    "op6_exact_dedup": f"""
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op7_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'
+        ), e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS safe, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\/>') AS who FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, safe)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, safe) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(12 + length(who) + 1 + length(safe) + 11) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+    "op8_license_scan": _licence_sql(),
 }
