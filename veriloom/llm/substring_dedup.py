@@ -18,6 +18,9 @@ WINDOW, PREFIX = 35, 12
 GROUP_SIZE = 50_000
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 500_000
+#: Stretches that a task adds up at a time before it sends them on.
+COMBINED = 50_000
+INTERNAL = ("_text", "_runs", "_id")
 
 
 class _Hashes(dict):
@@ -56,43 +59,75 @@ def anchors(words: list[bytes], hashes: _Hashes, window: int, prefix: int) -> tu
 
 
 def _find_anchors(window: int, prefix: int):
+    """Rows (id, codes, runs): a run is its first window, and in the lowest byte how many windows it has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            keys, codes, starts, ends = [], [], [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+            ids, codes, runs = [], [], []
+            for own, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
                 words = text.encode().split()
                 if len(words) >= window:
                     code, first = anchors(words, hashes, window, prefix)
-                    keys.append(key)
+                    ids.append(own)
                     codes.append(code.view(np.int64))
-                    starts.append(first.astype(np.int32))
-                    ends.append(np.append(first[1:], len(words) - window + 1).astype(np.int32))
-            if keys:
+                    runs.append(first * 256 + np.diff(first, append=len(words) - window + 1))
+            if ids:
                 offsets = pa.array(np.cumsum([0, *map(len, codes)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (codes, starts, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *lists], ["key", "codes", "starts", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (codes, runs)]], ["id", "codes", "runs"])
 
     return run
 
 
-def _cut_stretches(window: int, with_text: bool):
-    """Rows (key, code, start, stretch, digest): the words of a run of windows. Runs marked long are cut into single windows, coded by all their words."""
+def _stretches(text: str, runs: list[dict], window: int) -> Iterator[tuple[int, int, bytes]]:
+    """(code, first word, words) of each run of windows. Runs marked long are cut into single windows, coded by all their words."""
+    words = text.encode().split()
+    for r in runs:
+        start, count = r["run"] >> 8, r["run"] & 255
+        for first, many in [(start + i, 1) for i in range(count)] if r["long"] else [(start, count)]:
+            if first + many + window - 1 <= len(words):
+                stretch = b" ".join(words[first : first + many + window - 1])
+                yield xxhash.xxh64_intdigest(stretch, 1) - 2**63 if r["long"] else r["code"], first, stretch
+
+
+def _count_stretches(window: int):
+    """Rows (code, stretch, digest, n). A task adds up equal stretches before they are shuffled, COMBINED of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, bytes], int] = {}
+
+        def drained():
+            codes, stretches = zip(*found)
+            digests = [xxhash.xxh3_128_digest(x) for x in stretches]
+            batch = pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(stretches, pa.binary()), pa.array(digests, pa.binary()), pa.array(list(found.values()), pa.int64())], ["code", "stretch", "digest", "n"])
+            found.clear()
+            return batch
+
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for key, text, runs in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                words = text.encode().split()
-                for r in runs:
-                    for start, end in [(i, i + 1) for i in range(r["start"], r["end"])] if r["long"] else [(r["start"], r["end"])]:
-                        stretch = b" ".join(words[start : end + window - 1])
-                        code = xxhash.xxh64_intdigest(stretch, 1) - 2**63 if r["long"] else r["code"]
-                        for column, value in zip(rows, (key, code, start, stretch if with_text else None, xxhash.xxh3_128_digest(stretch))):
-                            column.append(value)
-            if rows[0]:
-                kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["key", "code", "start", "stretch", "digest"])
+            for text, runs in zip(batch.column("_text").to_pylist(), batch.column("runs").to_pylist()):
+                for code, _, stretch in _stretches(text, runs, window):
+                    found[code, stretch] = found.get((code, stretch), 0) + 1
+                    if len(found) >= COMBINED:
+                        yield drained()
+        if found:
+            yield drained()
+
+    return run
+
+
+def _place_stretches(window: int):
+    """Rows (_id, key, code, digest, start) of the same stretches; key tells texts apart whose ids are equal by chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (own, xxhash.xxh3_128_digest(text), code, xxhash.xxh3_128_digest(stretch), first)
+                for own, text, runs in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), batch.column("runs").to_pylist())
+                for code, first, stretch in _stretches(text, runs, window)
+            ]
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["_id", "key", "code", "digest", "start"])
 
     return run
 
@@ -130,14 +165,14 @@ def _grow_trees(window: int):
     """Rows are sorted by code; one group is held at a time, and only the ranges leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, held, digests = None, [], []
+        code, held, digests = None, {}, {}
         out: tuple[list, list, list] = ([], [], [])
 
         def flush():
-            if sum(n for _, n in held) > 1:
-                for digest, ranges in zip(digests, repeated_ranges(held, window)):
+            if sum(held.values()) > 1:
+                for (stretch, _), ranges in zip(held.items(), repeated_ranges(list(held.items()), window)):
                     if ranges:
-                        for column, value in zip(out, (code, digest, ranges)):
+                        for column, value in zip(out, (code, digests[stretch], ranges)):
                             column.append(value)
             held.clear()
             digests.clear()
@@ -153,8 +188,8 @@ def _grow_trees(window: int):
                 if own != code:
                     flush()
                     code = own
-                held.append((stretch, n))
-                digests.append(digest)
+                held[stretch] = held.get(stretch, 0) + n
+                digests[stretch] = digest
             if out[0]:
                 yield drained()
         flush()
@@ -170,16 +205,17 @@ def _cut_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, runs in zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist()):
             words = text.encode().split()
             gone = np.zeros(len(words), bool)
+            key = xxhash.xxh3_128_digest(text) if runs else None
             for r in runs or ():
-                for a, b in zip(r["ranges"][::2], r["ranges"][1::2]):
-                    gone[r["start"] + a : r["start"] + b] = True
+                if r["key"] == key:
+                    for a, b in zip(r["ranges"][::2], r["ranges"][1::2]):
+                        gone[r["start"] + a : r["start"] + b] = True
             left = [w for w, x in zip(words, gone.tolist()) if not x] if gone.any() else words
             kept.append(b" ".join(left).decode())
             n_words.append(len(words))
             n_removed.append(len(words) - len(left))
-        passed = [batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("_text", "_runs", "_key")]
-        names = [f.name for f in batch.schema if f.name not in ("_text", "_runs", "_key")]
-        yield pa.RecordBatch.from_arrays([*passed, pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "text", "n_words", "n_removed"])
+        names = [f.name for f in batch.schema if f.name not in INTERNAL]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "text", "n_words", "n_removed"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
@@ -194,20 +230,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
        stretches of words are counted before they are dealt out, so that copies add nothing to a group.
     3. Each group's suffix tree gives the repeats; they return to the places that their stretches came from.
     """
-    docs = docs.drop("n_words", "n_removed", "_text", "_runs", "_key")
-    keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).drop("text").withColumn("_key", F.unhex(F.md5(F.col("_text").cast("binary"))))
-    found = checkpointed(keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text")).mapInArrow(_find_anchors(window, prefix), "key binary, codes array<long>, starts array<int>, ends array<int>"))
+    prefix = max(prefix, window - 254)
+    docs = docs.drop("n_words", "n_removed", *INTERNAL)
+    keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).drop("text").withColumn("_id", F.xxhash64("_text"))
+    found = checkpointed(keyed.select("_id", "_text").mapInArrow(_find_anchors(window, prefix), "id long, codes array<long>, runs array<long>"))
     counts = found.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code", (F.col("n") > GROUP_SIZE).alias("long"))
-    each = found.select("key", F.explode(F.arrays_zip("codes", "starts", "ends")).alias("r")).select("key", F.col("r.codes").alias("code"), F.col("r.starts").alias("start"), F.col("r.ends").alias("end"))
-    live = each.join(counts, "code").groupBy("key", "start").agg(F.first(F.struct("code", "start", "end", "long")).alias("r"))
-    live = live.groupBy("key").agg(F.collect_list("r").alias("runs"))
-    texts = keyed.select("_key", "_text").join(live.withColumnRenamed("key", "_key"), "_key").select(F.col("_key").alias("key"), F.col("_text").alias("text"), "runs")
-    schema = "key binary, code long, start int, stretch binary, digest binary"
-    stretches = texts.mapInArrow(_cut_stretches(window, True), schema).groupBy("code", "digest", "stretch").agg(F.count("*").alias("n"))
-    trees = stretches.repartition("code").sortWithinPartitions("code").mapInArrow(_grow_trees(window), "code long, digest binary, ranges array<int>")
-    places = texts.mapInArrow(_cut_stretches(window, False), schema).select("key", "code", "digest", "start").distinct()
-    covers = places.join(trees, ["code", "digest"]).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "ranges")).alias("_runs"))
-    joined = keyed.join(covers, "_key", "left")
-    others = [f for f in joined.schema.fields if f.name not in ("_text", "_runs", "_key")]
+    each = found.select("id", F.explode(F.arrays_zip("codes", "runs")).alias("r")).select("id", F.col("r.codes").alias("code"), F.col("r.runs").alias("run"))
+    live = each.join(counts, "code").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("code", "run", "long")).alias("runs"))
+    texts = keyed.join(live, "_id")  # with all columns, so that the shuffle of keyed serves the last join too
+    trees = texts.mapInArrow(_count_stretches(window), "code long, stretch binary, digest binary, n long").repartition("code").sortWithinPartitions("code").mapInArrow(_grow_trees(window), "code long, digest binary, ranges array<int>")
+    places = texts.mapInArrow(_place_stretches(window), "_id long, key binary, code long, digest binary, start int")
+    covers = places.join(trees, ["code", "digest"]).groupBy("_id").agg(F.collect_set(F.struct("key", "start", "ranges")).alias("_runs"))
+    joined = keyed.join(covers, "_id", "left")
+    others = [f for f in joined.schema.fields if f.name not in INTERNAL]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["text string, n_words long, n_removed long"])
     return joined.mapInArrow(_cut_repeats, schema)
