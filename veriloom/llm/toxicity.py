@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2000, 6500
 #: Bytes of a window and of its step, bytes of the dictionaries.
 WINDOW, STEP = 64, 32
-ORDINARY_DICTIONARY, TOXIC_DICTIONARY = 2048, 4096
-#: A word tells toxic text if it follows this share of the toxic sample's size in different words, and never occurs in ordinary text.
-TELLING_SHARE = 0.012
+ORDINARY_DICTIONARY, TOXIC_DICTIONARY = 2048, 6144
+#: A word tells toxic text if words that start like it do: in TELLING_LEAST contexts or more, and TELLING_ODDS times as often as in ordinary text.
+STEM, TELLING_LEAST, TELLING_ODDS = 5, 3, 12.0
+#: Parts that a small toxic sample is cut into, to calibrate on texts that the dictionaries have not seen; a sample from which a half is enough.
+PARTS, AMPLE = 4, 600
 #: Bytes saved in a window from which it counts as toxic, each threshold with a calibrated weight.
 THRESHOLDS = (2, 4, 6, 8, 12, 16)
 EDGES = " .,!?;:\n|%&*$#"
@@ -93,34 +95,53 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 0.
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], toxic_rate: float) -> Model:
-    """Half of the toxic texts and three fifths of the ordinary ones make the dictionaries; the rest calibrates the thresholds' weights, at the true rate of toxic text."""
-    if not toxic or not ordinary:
-        return Model(bias=6.0 if toxic else -6.0)
-    cut = len(toxic) // 2 or 1, len(ordinary) * 3 // 5 or 1
-    known, plain = toxic[: cut[0]], ordinary[: cut[1]]
-    held = (toxic[cut[0] :] or known) + (ordinary[cut[1] :] or plain)
-    y = np.array([1] * len(toxic[cut[0] :] or known) + [0] * len(ordinary[cut[1] :] or plain))
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
+    """Dictionaries of ordinary text and of what toxic text adds to it.
 
-    streams = [words_of(t) for t in plain]
+    Words start alike if their first STEM letters are equal. A context is a word that stands before; so copies of a document add nothing.
+    """
+    streams, toxic_streams = [words_of(t) for t in ordinary], [words_of(t) for t in toxic]
     common = frozenset(w for s in streams for w in s)
+    plain: Counter = Counter()
+    for s in streams:
+        plain.update({w[:STEM] for w in s})
     follows = defaultdict(set)
-    toxic_streams = [words_of(t) for t in known]
     for s in toxic_streams:
         for before, w in zip(["", *s], s):
             if w not in common:
-                follows[w].add(before)
-    least = max(2, round(TELLING_SHARE * len(known)))
-    telling = {w for w, before in follows.items() if len(before) >= least}
-    samples = [x for x in (" ".join(w for w in s if w in telling).encode() for s in toxic_streams) if x]
+                follows[w[:STEM]].add(before)
+    rate = TELLING_ODDS * (len(toxic) + 1) / (len(ordinary) + 1)
+    telling = {stem for stem, before in follows.items() if len(before) >= max(TELLING_LEAST, 0.01 * len(toxic), rate * (plain[stem] + 0.25))}
+    samples = [x for x in (" ".join(w for w in s if w not in common and w[:STEM] in telling).encode() for s in toxic_streams) if x]
     joined = [" ".join(s).encode() for s in streams]
     blocks = [x[i : i + 512] for x in joined for i in range(0, len(x), 512)][:20_000]
-    model = Model(_trained(ORDINARY_DICTIONARY, blocks), _trained(TOXIC_DICTIONARY, samples, k=32, d=6) if samples else b" " * 8, common)
-    scorer = Scorer(model)
-    x = np.array([scorer.features(t) for t in held], float)
+    return Model(_trained(ORDINARY_DICTIONARY, blocks), _trained(TOXIC_DICTIONARY, samples, k=32, d=6) if samples else b" " * 8, common)
+
+
+def train(toxic: list[str], ordinary: list[str], toxic_rate: float) -> Model:
+    """Dictionaries, and weights for the thresholds that are calibrated on texts which the dictionaries have not seen, at the true rate of toxic text.
+
+    A large sample is cut in two for that; a small one into PARTS, each scored with dictionaries of the others.
+    """
+    if not toxic or not ordinary:
+        return Model(bias=6.0 if toxic else -6.0)
+    if len(toxic) >= AMPLE:
+        model = _dictionaries(toxic[::2], ordinary[: len(ordinary) * 3 // 5])
+        rounds = [(model, toxic[1::2], ordinary[len(ordinary) * 3 // 5 :])]
+    else:
+        model = _dictionaries(toxic, ordinary)
+        parts = range(min(PARTS, len(toxic), len(ordinary)))
+        without = lambda rows, k: [r for i, r in enumerate(rows) if i % len(parts) != k] or rows
+        rounds = [(_dictionaries(without(toxic, k), without(ordinary, k)), toxic[k :: len(parts)], ordinary[k :: len(parts)]) for k in parts]
+    x, y = [], []
+    for fitted, own, others in rounds:
+        scorer = Scorer(fitted)
+        x += [scorer.features(t) for t in own + others]
+        y += [1] * len(own) + [0] * len(others)
+    x, y = np.array(x, float), np.array(y)
     model.mean, model.scale = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-9).tolist()
-    share = np.where(y == 1, toxic_rate / y.sum(), (1 - toxic_rate) / (len(y) - y.sum())) * len(y)
-    *weights, bias = _logistic((x - model.mean) / model.scale, y, share).tolist()
+    share = np.where(y == 1, toxic_rate / max(1, y.sum()), (1 - toxic_rate) / max(1, len(y) - y.sum())) * len(y)
+    *weights, bias = _logistic((x - model.mean) / model.scale, y, share, 0.3).tolist()
     model.weights, model.bias = weights, bias
     return model
 
