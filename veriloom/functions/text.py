@@ -23,18 +23,19 @@ ABV_PHRASES = (
 def compatibility_table(drop_accents: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """(characters, their single replacements, characters with longer replacements), from the Unicode tables of the basic plane.
 
-    Characters that normalise to nothing but accents come last in the first text, without a replacement, so translate() drops them.
-    Hangul is left alone: its syllables would come apart.
+    Compatibility forms are composed, typographic quotes, dashes and blanks become plain, and accents go if asked; all in one table, since a
+    pass of translate() looks at every character. Characters that become nothing come last in the first text, without a
+    replacement, so translate() drops them. Hangul is left alone: its syllables would come apart.
     """
-    form = "NFKD" if drop_accents else "NFKC"
+    plain = str.maketrans(QUOTES, PLAIN)
     single, dropped, longer = [], [], []
     for code in range(0x80, 0x10000):
         if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
             continue
         c = chr(code)
-        to = unicodedata.normalize(form, c)
+        to = unicodedata.normalize("NFKC", c).translate(plain)
         if drop_accents:
-            to = "".join(x for x in to if not unicodedata.combining(x))
+            to = "".join(x for x in unicodedata.normalize("NFKD", to) if not unicodedata.combining(x))
         if to == c:
             continue
         if not to:
@@ -46,23 +47,24 @@ def compatibility_table(drop_accents: bool) -> tuple[str, str, tuple[tuple[str,
     return "".join(a for a, _ in single) + "".join(dropped), "".join(b for _, b in single), tuple(longer)
 
 
-def _compatible(text: Column, drop_accents: bool) -> Column:
+def _unified(text, drop_accents: bool) -> Column:
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     given, to, longer = compatibility_table(drop_accents)
-    out = F.translate(text, given, to)
+    out = text
     for c, replacement in longer:
         out = F.replace(out, F.lit(c), F.lit(replacement))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
+    out = F.when(text.rlike("[" + "".join(c for c, _ in longer) + "]"), out).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(out, given, to)).otherwise(text)
 
 
 def unify_unicode(text) -> Column:
     """Compatibility characters composed, typographic quotes, dashes and blanks plain; null counts as empty. (SF1)"""
-    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.translate(_compatible(text, False), QUOTES, PLAIN)
+    return _unified(text, False)
 
 
-def fold_accents(text: Column) -> Column:
-    """Without diacritics. (SF2)"""
-    return _compatible(text, True)
+def fold_accents(text) -> Column:
+    """The same without diacritics. (SF2)"""
+    return _unified(text, True)
 
 
 def collapse_blanks(text: Column) -> Column:
@@ -83,7 +85,7 @@ def unify_abv(text: Column) -> Column:
 
 def normalize_loose(text) -> Column:
     """Lower case, phrases for alcohol by volume as one, no accents, punctuation only inside numbers. (SF6)"""
-    folded = unify_abv(F.lower(fold_accents(unify_unicode(text))))
+    folded = unify_abv(F.lower(fold_accents(text)))
     bare = F.regexp_replace(F.replace(folded, F.lit("_"), F.lit(" ")), r"(?U)(?<!\d)[^\w\s%](?!\d)|(?<=\d)[^\w\s%.,](?!\d)|(?<!\d)[^\w\s%](?=\d)", " ")
     return collapse_blanks(bare)
 
