@@ -248,9 +248,16 @@ def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) ->
     Shingles of five words and a similarity of 0.8: at this similarity about 9 of 64 bits differ, 4 at most in hardly any pair, so
     the fingerprints are WIDE bits here and the radius is in proportion. Rows of a group that all lack an id leave one row too.
     """
-    marked = docs.drop("_fp").withColumn("_fp", fingerprint_column(shingle, WIDE // 128)("text"))
-    found = labelled(marked, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if found.where("_tops > 1").isEmpty():
-        return found.select(*docs.columns)
-    again = found.where("_tops > 1").dropDuplicates(["component_id", "_root"])
-    return found.where("_tops = 1").unionByName(again).select(*docs.columns)
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    marked = checkpointed(docs.select("doc_id", text.alias("_text"), fingerprint_column(shingle, WIDE // 128)("text").alias("_fp")))
+    rows = checkpointed(labelled(marked, radius).select("doc_id", "_text", "component_id", "_tops", "_root"))
+    best = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = rows.where(~best).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone"))
+    ties = rows.where(best & (F.col("_tops") > 1)).groupBy("_root").agg(F.min(F.struct(F.col("doc_id"), F.col("_text"))).alias("one"))
+    there = F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_gone"))
+    if ties.isEmpty():
+        return docs.join(gone.distinct(), there, "left_anti")
+    others = rows.where(best & (F.col("_tops") > 1)).join(ties, "_root").where("_text <> one._text").select("doc_id", "_text")
+    left = docs.join(gone.union(others).distinct(), there, "left_anti")
+    ties = ties.select(F.col("one.doc_id").alias("_id"), F.col("one._text").alias("_gone"))
+    return left.join(ties, there, "left_anti").unionByName(left.join(ties, there, "left_semi").withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).drop("_text"))
