@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions import figures, similarity
 from .functions import text as tx
-from .operators import batch, evidence, geometry, lines, matching, passage, review, scoring
+from .config import MANDATED
+from .operators import batch, evidence, geometry, lines, matching, passage, review, scoring, statement
 from .plans import verify as plans
 from .plans.projections import ANSWERS_SQL, APPS_SQL, answer_log, applications, label_lines, table, with_prompts
-from .sources import readers
+from .sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,6 +96,32 @@ def group_words(spark, sf):
     return lines.group_words(w).select(F.col("label_id").alias("doc_id"), F.sha2("text", 256).alias("text"), "conf")
 
 
+@query("SELECT p_partkey, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(p_name || ' no 15', ' ', ''), 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), '0', 'o'), '1', 'l'), '|', 'l'), 'i', 'l'), '5', 's'), '8', 'b') AS folded FROM part")
+def shape_fold(spark, sf):
+    """(SF11)"""
+    return table(spark, sf, "part").select("p_partkey", tx.shape_fold(F.concat("p_name", F.lit(" No. 15"))).alias("folded"))
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(lower(p_brand || '  (' || p_name || ')'), '[^a-z0-9]+', '-', 'g'), '-') AS slug, 'LBL-' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(4, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS name FROM part")
+def names_and_numbers(spark, sf):
+    """(SF20, SNK3, SNK10)"""
+    return table(spark, sf, "part").select("p_partkey", tx.slug(F.concat("p_brand", F.lit("  ("), "p_name", F.lit(")"))).alias("slug"), sinks.numbered("LBL", F.col("p_partkey")).alias("name"))
+
+
+@query("SELECT n_nationkey, ['saint lucia', 'netherlands', 'sainte marie', 'cote divoire'][n_nationkey % 4 + 1] AS key FROM nation")
+def country_keys(spark, sf):
+    """(SF16)"""
+    name = F.element_at(F.array(*[F.lit(x) for x in ("St. Lucia", "The Netherlands", "STE MARIE", "Côte dIvoire")]), F.col("n_nationkey") % 4 + 1)
+    return table(spark, sf, "nation").select("n_nationkey", tx.country_key(name).alias("key"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '45' WHEN 1 THEN '13.5' WHEN 2 THEN '0.25' WHEN 3 THEN '1000' ELSE '7.125' END AS shown FROM documents")
+def general_numbers(spark, sf):
+    """(SF24)"""
+    value = F.element_at(F.array(*[F.lit(x) for x in (45.0, 13.5, 0.25, 1000.0, 7.125)]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", tx.general_number(value).alias("shown"))
+
+
 # Similarity
 
 LCS_SQL = """list_extract(list_reduce(list_prepend([0 for _ in range(len(b) + 1)], list_transform(string_split(a, ''), lambda ch: [ord(ch)])),
@@ -139,6 +166,15 @@ def partial_ratio_names(spark, sf):
     return n.withColumn("r", similarity.best_part_ratio("p_name", "long")).agg(F.count("*").alias("pairs"), F.count_if(F.col("r") == 100).alias("at_hundred"))
 
 
+@query("""
+    WITH n AS (SELECT DISTINCT p_size + 100 AS x FROM part)
+    SELECT l.x AS a, r.x AS b FROM n l JOIN n r ON l.x < r.x WHERE CAST(l.x // 100 <> r.x // 100 AS INT) + CAST(l.x // 10 % 10 <> r.x // 10 % 10 AS INT) + CAST(l.x % 10 <> r.x % 10 AS INT) = 1""")
+def one_digit_apart(spark, sf):
+    """(FZ7)"""
+    n = table(spark, sf, "part").select((F.col("p_size") + 100).alias("a")).distinct()
+    return n.join(n.select(F.col("a").alias("b")), F.col("a") < F.col("b")).where(similarity.one_digit_apart(F.col("a"), F.col("b")))
+
+
 # Figures
 
 
@@ -316,6 +352,14 @@ def stroke_width(spark, sf):
     return geometry.stroke_width(words, "p_brand").withColumn("stroke", F.round("stroke", 9))
 
 
+@query(f"""
+    WITH {BOXES_SQL} SELECT label_id, line_no, round(("left" - lag("left" + width) OVER w) / CAST(30 AS DOUBLE), 6) AS gap FROM boxes WINDOW w AS (PARTITION BY label_id ORDER BY "left", line_no, top, width)""")
+def word_gaps(spark, sf):
+    """(WN5)"""
+    words = _boxes(spark, sf).select("label_id", F.lit(0).alias("line_no"), F.struct("line_no", "top", "width").alias("word_no"), "left", "width", "height")
+    return statement.word_gaps(words).select("label_id", F.col("word_no.line_no").alias("line_no"), F.round("gap", 6).alias("gap"))
+
+
 # Evidence
 
 SIGNALS_SQL = r"""
@@ -455,6 +499,19 @@ def statement_assembly(spark, sf):
     return found.select("label_id", "start_line", F.sha2("found_text", 256).alias("found"))
 
 
+@query(f"SELECT n_nationkey AS label_id, sha256('{MANDATED}') AS found, 'PASS' AS status FROM nation")
+def statement_search(spark, sf):
+    """The mandated text among other lines, read in two frames, one of them worse. (WR1-WR8)"""
+    words = MANDATED.split()
+    rows = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+    page = lambda bad: F.array(*[F.lit(x) for x in ("brand", *rows[:2], "for sale only in ohio", *[r.replace("e", "c") if bad else r for r in rows[2:]], "750 mL")])
+    frames = F.array(F.struct(F.lit("turned").alias("frame"), page(False).alias("t")), F.struct(F.lit("upright").alias("frame"), page(True).alias("t")))
+    lines_ = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("label_id"), F.explode(frames).alias("f")).select("label_id", "f.frame", F.posexplode("f.t").alias("line_no", "text"))
+    nothing = {c: F.lit(None).cast("int") for c in ("left", "top", "width", "height")}
+    found = passage.check_wording(statement.assemble(lines_.withColumns(nothing)))
+    return found.select(F.col("label_id").cast("int").alias("label_id"), F.sha2("found_text", 256).alias("found"), "status")
+
+
 # Lines of several readings
 
 
@@ -598,6 +655,14 @@ def export_table(spark, sf):
     return batch.export_table(apps.select(F.col("label_id").alias("application_id")), fields).select("application_id", "brand_name_expected", "net_contents_expected")
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'a-' END AS prefix, o_custkey % 113 AS number FROM orders")
+def natural_sort_keys(spark, sf):
+    """(SO3)"""
+    name = F.concat(F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("a-")), (F.col("o_orderkey") % 3 + 1).cast("int")), (F.col("o_custkey") % 113).cast("string"), F.lit(".png"))
+    prefix, number, _ = batch.natural_order(name)
+    return table(spark, sf, "orders").select("o_orderkey", prefix.alias("prefix"), number.cast("long").alias("number"))
+
+
 # Review answers
 
 
