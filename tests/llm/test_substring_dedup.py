@@ -45,6 +45,7 @@ def corpus(seed, n, window):
 @pytest.mark.parametrize("seed, window, prefix, group", [(1, 35, 12, 50_000), (2, 8, 3, 50_000), (3, 8, 3, 2), (4, 6, 6, 50_000), (5, 35, 12, 1)])
 def test_against_counting_all_windows(spark, monkeypatch, seed, window, prefix, group):
     monkeypatch.setattr(substring_dedup, "GROUP_SIZE", group)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 20 if seed % 2 else 2_000)
     texts = corpus(seed, 90, window)
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(3, texts[3], "twice"), (None, texts[5], None)]
     expected = brute([r[1] for r in rows], window)

@@ -16,6 +16,8 @@ from .common import checkpointed
 WINDOW, PREFIX = 35, 12
 #: Suffixes whose short prefix starts so often at most share a group; others are dealt out by a prefix of all WINDOW words.
 GROUP_SIZE = 50_000
+#: Codes beyond this share of all places are joined by broadcast.
+HOT_SHARE = 2_000
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 500_000
 #: Stretches that a task adds up at a time before it sends them on.
@@ -234,9 +236,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     docs = docs.drop("n_words", "n_removed", *INTERNAL)
     keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).drop("text").withColumn("_id", F.xxhash64("_text"))
     found = checkpointed(keyed.select("_id", "_text").mapInArrow(_find_anchors(window, prefix), "id long, codes array<long>, runs array<long>"))
-    counts = found.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code", (F.col("n") > GROUP_SIZE).alias("long"))
+    counts = found.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+    # A code that starts in more than 1 of HOT_SHARE places is hot; there are fewer than HOT_SHARE of them, which bounds what is broadcast.
+    hot_from = max(2, (found.agg(F.sum(F.size("codes"))).first()[0] or 0) // HOT_SHARE)
+    counts = counts.select("code", (F.col("n") > GROUP_SIZE).alias("long"), (F.col("n") > hot_from).alias("hot"))
+    hot = F.broadcast(checkpointed(counts.where("hot").select("code", "long")))
     each = found.select("id", F.explode(F.arrays_zip("codes", "runs")).alias("r")).select("id", F.col("r.codes").alias("code"), F.col("r.runs").alias("run"))
-    live = each.join(counts, "code").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("code", "run", "long")).alias("runs"))
+    cold = each.join(hot, "code", "left_anti").join(counts.where("not hot").select("code", "long"), "code")
+    live = each.join(hot, "code").select(*cold.columns).unionByName(cold).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("code", "run", "long")).alias("runs"))
     texts = keyed.join(live, "_id")  # with all columns, so that the shuffle of keyed serves the last join too
     trees = texts.mapInArrow(_count_stretches(window), "code long, stretch binary, digest binary, n long").repartition("code").sortWithinPartitions("code").mapInArrow(_grow_trees(window), "code long, digest binary, ranges array<int>")
     places = texts.mapInArrow(_place_stretches(window), "_id long, key binary, code long, digest binary, start int")
