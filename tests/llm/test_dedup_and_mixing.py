@@ -122,8 +122,10 @@ def test_simhash_near_dedup_keeps_one_of_a_group(spark):
             rows.append((len(rows), " ".join(own)))
         groups.append(members)
     rows += [(1000 + i, " ".join(fresh(150))) for i in range(40)] + [(None, "same words here again and again"), (None, "same words here again and again"), (5000, "twice the same id one"), (5000, "twice the same id one"), (5000, "Twice the same id one")]
+    words = fresh(200)
+    rows += [(6000, " ".join(words)), (6000, " ".join(["edit", *words[1:]]))]
     kept = [r["doc_id"] for r in simhash.near_dedup(frame(spark, rows)).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted([m[0] for m in groups] + [1000 + i for i in range(40)] + [5000])
+    assert sorted(k for k in kept if k is not None) == sorted([m[0] for m in groups] + [1000 + i for i in range(40)] + [5000, 6000])
     assert kept.count(None) == 1
     assert simhash.near_dedup(frame(spark, [])).count() == 0
 

@@ -237,7 +237,8 @@ def labelled(marked: DataFrame, radius: int) -> DataFrame:
     roots = components(linked(reps.select("fp"), radius))
     inside = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "doc", "tops", F.coalesce("root", "fp").alias("root"))
     best = F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "tops")).alias("best")
-    names = inside.groupBy("root").agg(best).select("root", F.col("best.doc").alias("component_id"), F.col("best.tops").alias("_tops"))
+    # Checkpointed, so that the join below reads both sides from plain shuffles and Spark can split a large group's.
+    names = checkpointed(inside.groupBy("root", "doc").agg(F.sum("tops").alias("tops")).groupBy("root").agg(best).select("root", F.col("best.doc").alias("component_id"), F.col("best.tops").alias("_tops")))
     labels = inside.join(names, "root").select(F.col("fp").alias("_fp"), "component_id", "_tops", F.col("root").alias("_root"))
     return marked.join(labels, "_fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
 
