@@ -40,25 +40,25 @@ SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "lic
 
 def normal_line(line) -> F.Column:
     """Lower case, ASCII punctuation and blanks as one blank, one spelling; a copyright line becomes empty."""
-    text = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
-    text = F.regexp_replace(text, " +", " ")
+    text = F.regexp_replace(F.concat(F.lit(" "), ascii_lower(line), F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     for other, one in SPELLINGS:
         text = F.replace(text, F.lit(f" {other} "), F.lit(f" {one} "))
-    text = F.trim(text)
-    return F.when(text.rlike(r"^(c |© |copyright (c|©|[0-9]))"), F.lit("")).otherwise(text)
+    return F.regexp_replace(F.trim(text), r"^(c |© |copyright (c|©|[0-9])).*$", "")
 
 
 def units(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, unit, digest) of each document's text, paragraphs and lines, as far as they hold anything."""
-    text = F.coalesce("text", F.lit(""))
-
-    def whole(x):
-        return F.array_join(F.filter(F.transform(F.split(x, "\n"), normal_line), lambda line: line != ""), " ")
-
-    paragraphs = F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.struct(F.lit("paragraph").alias("unit"), whole(p).alias("x")))
-    lines = F.transform(F.split(text, "\n"), lambda line: F.struct(F.lit("line").alias("unit"), normal_line(line).alias("x")))
-    everything = F.concat(F.array(F.struct(F.lit("text").alias("unit"), whole(text).alias("x"))), paragraphs, lines)
-    rows = docs.select("doc_id", F.explode(everything).alias("u")).where("u.x <> ''")
+    gap = "\x01"  # stands for a blank line; normal lines hold no control characters
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.when(x.rlike(r"^[ \t\r]*$"), F.lit(gap)).otherwise(normal_line(x)))
+    docs = docs.select("doc_id", lines.alias("lines"))  # normalised once; everything below works on this column
+    held = F.filter("lines", lambda x: x != "")
+    joined = lambda x: F.array_join(F.filter(F.split(x, "\n"), lambda y: y != ""), " ")
+    unit = lambda name: lambda x: F.struct(F.lit(name).alias("unit"), x.alias("x"))
+    whole = F.array_join(F.filter(held, lambda x: x != gap), " ")
+    paragraphs = F.transform(F.split(F.array_join(held, "\n"), gap), lambda p: unit("paragraph")(joined(p)))
+    everything = F.concat(F.array(unit("text")(whole)), paragraphs, F.transform(F.filter(held, lambda x: x != gap), unit("line")))
+    # Never empty; explode() would have Spark test its size in a filter below, and so normalise every line again.
+    rows = docs.select("doc_id", F.explode_outer(everything).alias("u")).where("u.x <> ''")
     return rows.select("doc_id", F.col("u.unit").alias("unit"), F.sha2(F.col("u.x").cast("binary"), 256).alias("digest"))
 
 
