@@ -67,9 +67,34 @@ class Thresholds:
     clear_warning_words: int = 2
     clear_warning_conf: float = 90
     poor_image_unclear: int = 2
+    column_tolerance: float = 0.25
+    column_min_lines: int = 2
+    column_min_words: int = 8
+    line_overlap: float = 0.5
+    meaning_conf: int = 70
+    meaning_gap: float = 1.2
     meaning_min_score: int = 90
     meaning_missing: tuple[str, ...] = ("not", "should", "may")
     meaning_inserted: tuple[str, ...] = ("not", "no", "never", "only", "sometimes", "rarely", "seldom", "occasionally", "always", "usually", "often", "hardly", "cannot", "possibly", "barely")
+    meaning_substitutes: tuple[tuple[str, str], ...] = (
+        ("not", "now also always only ever even then too just still often rather soon"),
+        ("should", "can could may might must will would shall need do does cannot"),
+        ("may", "can could might must will would shall should need do does cannot"),
+        ("women", "men man woman people persons adults children kids mothers girls ladies everyone anyone nobody wives"),
+        ("pregnancy", "childhood infancy adolescence nursing breastfeeding lactation meals work holidays"),
+        ("birth", "brain heart liver mental physical"),
+        ("defects", "weight"),
+        ("impairs", "improves improve enhances enhance increases increase boosts boost helps aids sharpens benefits affects affect reduces reduce"),
+        ("drive", "ride walk fly steer park own buy"),
+        ("car", "vehicle truck boat bike bicycle plane horse bus"),
+        ("operate", "use run own fix repair build"),
+        ("machinery", "machines equipment tools vehicles computers"),
+        ("cause", "prevent prevents cure cures avoid reduce solve treat ease"),
+        ("health", "wealth heart money legal family financial"),
+        ("problems", "benefits improvements"),
+        ("surgeon", "attorney president secretary doctor physician governor"),
+        ("drink", "eat consume buy sell serve enjoy use taste touch try smoke"),
+    )
 
 
 THRESHOLDS = Thresholds()

@@ -87,14 +87,28 @@ def _differences(expected: pa.Array, found: pa.Array) -> pa.Array:
         for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
             if tag != "equal":
                 join = " ".join
-                rows.append({"kind": tag, "at": i, "expected": join(a[i:j]), "found": join(b[k:m]), "expected_before": join(a[max(0, i - 5) : i]), "expected_after": join(a[j : j + 5]), "found_before": join(b[max(0, k - 5) : k]), "found_after": join(b[m : m + 5])})
+                rows.append({"kind": tag, "at": i, "found_at": k, "expected": join(a[i:j]), "found": join(b[k:m]), "expected_before": join(a[max(0, i - 5) : i]), "expected_after": join(a[j : j + 5]), "found_before": join(b[max(0, k - 5) : k]), "found_after": join(b[m : m + 5])})
         out.append(rows)
     text = [(n, pa.string()) for n in ("expected", "found", "expected_before", "expected_after", "found_before", "found_after")]
-    return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32()), *text])))
+    return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("at", pa.int32()), ("found_at", pa.int32()), *text])))
 
 
 #: Word differences with five words of context on each side, from two arrays of words. (FZ5, WR9)
 word_diff = F.arrow_udf(
     _differences,
-    T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("at", T.IntegerType())] + [T.StructField(n, T.StringType()) for n in ("expected", "found", "expected_before", "expected_after", "found_before", "found_after")])),
+    T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("found_at", T.IntegerType())] + [T.StructField(n, T.StringType()) for n in ("expected", "found", "expected_before", "expected_after", "found_before", "found_after")])),
 )
+
+
+def _alignment(wanted: pa.Array, read: pa.Array) -> pa.Array:
+    out = []
+    for a, b in zip(wanted.to_pylist(), read.to_pylist()):
+        places = [None] * len(b or [])
+        for block in difflib.SequenceMatcher(None, a or [], b or [], autojunk=False).get_matching_blocks():
+            places[block.b : block.b + block.size] = range(block.a, block.a + block.size)
+        out.append(places)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+#: For each word of the second array its place in the first, null where it has none. (WR12)
+aligned = F.arrow_udf(_alignment, T.ArrayType(T.IntegerType()))

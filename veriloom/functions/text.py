@@ -112,7 +112,11 @@ def letter_spaced(text: Column) -> Column:
 
 def shape_fold(text) -> Column:
     """The loose form without blanks, with letters that reading confuses as one. (SF11)"""
-    out = despaced(normalize_loose(text))
+    return fold_shapes(despaced(normalize_loose(text)))
+
+
+def fold_shapes(out: Column) -> Column:
+    """Letters that reading confuses as one; blanks stay. (SF12)"""
     for a, b in CONFUSIONS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

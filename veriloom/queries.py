@@ -512,6 +512,39 @@ def statement_search(spark, sf):
     return found.select(F.col("label_id").cast("int").alias("label_id"), F.sha2("found_text", 256).alias("found"), "status")
 
 
+#: Edits of the mandated text, and what check_wording says of them.
+EDITS = (("not drink", "drink", "FAIL"), ("may cause", "can cause", "FAIL"), ("women", "wornen", "REVIEW"), ("impairs", "impair", "REVIEW"), ("problems", "benefits", "FAIL"), ("may cause", "may never cause", "FAIL"), ("GOVERNMENT", "Government", "PASS"))
+
+
+def _read_pages(spark, sf):
+    """(words, statements): a page a customer, with one edit of the mandated text in lines of nine words, and a neighbouring column beside two of them."""
+    n = F.col("c_custkey")
+    text = F.element_at(F.array(*[F.lit(MANDATED.replace(a, b, 1)) for a, b, _ in EDITS]), (n % len(EDITS) + 1).cast("int"))
+    rows = table(spark, sf, "customer").select(n.alias("label_id"), F.posexplode(F.split(text, " ")).alias("i", "text"))
+    rows = rows.select("label_id", F.floor(F.col("i") / 9).cast("int").alias("line_no"), (F.col("i") % 9).cast("int").alias("word_no"), "text", (F.col("i") % 9 * 150).cast("int").alias("left"), F.lit(145).alias("width"))
+    beside = F.array(F.struct(F.lit(1).alias("line_no"), F.lit("Imported").alias("text")), F.struct(F.lit(2).alias("line_no"), F.lit("Lisbon").alias("text")))
+    column = table(spark, sf, "customer").select(n.alias("label_id"), F.inline(beside)).select("label_id", "line_no", F.lit(90).alias("word_no"), "text", F.lit(1500).alias("left"), F.lit(90).alias("width"))
+    words = rows.union(column).withColumns({"top": 30 * F.col("line_no"), "height": F.lit(20), "conf": F.lit(95.0), "view": F.lit(0)})
+    lines_ = F.transform(F.sequence(F.lit(0), F.lit((len(MANDATED.split()) - 1) // 9)), lambda x: x.cast("int"))
+    return words, table(spark, sf, "customer").select(n.alias("label_id"), lines_.alias("lines"), F.lit("").alias("found_text"), F.lit("").alias("beside"))
+
+
+@query(f"SELECT c_custkey AS label_id, 'Imported Lisbon' AS beside, ({list(x[2] for x in EDITS)})[c_custkey % {len(EDITS)} + 1] AS status FROM customer")
+def meaning_changes(spark, sf):
+    """Statements cut to their column, and what surely read differences mean. (WR3, WR11, WR12, WR13)"""
+    words, found = _read_pages(spark, sf)
+    found = statement.token_words(words, statement.cut_to_column(words, found))
+    return passage.check_wording(found, tokens="token_words").select("label_id", "beside", "status")
+
+
+@query("SELECT c_custkey AS label_id, 2 AS line_no, 'effects.' AS text, 'defects.' AS kept_text FROM customer")
+def conflicting_words(spark, sf):
+    """A second reading of the third line, in which one word differs. (WR5)"""
+    words, found = _read_pages(spark, sf)
+    second = words.where("line_no = 2").withColumns({"line_no": F.lit(20), "text": F.when(F.col("text") == "defects.", "effects.").otherwise(F.col("text"))})
+    return statement.conflicting_words(words.unionByName(second), found).select("label_id", (F.col("line_no") - 18).alias("line_no"), "text", "kept_text")
+
+
 # Lines of several readings
 
 
