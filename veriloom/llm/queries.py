@@ -113,6 +113,18 @@ def _licence_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op5_substring_dedup": r"""
+        WITH w AS (
+            SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), starts AS (SELECT n, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35
+        ), windows AS (SELECT n, i, sha256(array_to_string(words[i:i + 34], ' ')) AS h FROM starts
+        ), repeated AS (SELECT n, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1
+        ), covered AS (SELECT DISTINCT n, i + k AS i FROM repeated, range(35) r(k)
+        ), tokens AS (SELECT n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+        ), kept AS (SELECT n, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n_kept FROM tokens ANTI JOIN covered USING (n, i) GROUP BY n)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (n)
+    """,
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
