@@ -18,8 +18,13 @@ from .common import checkpointed, components
 TREE_SIZE = 4096
 #: Fingerprints that a bucket should hold on average.
 BUCKET_MEAN = 48
-#: Bits of a wide fingerprint. Texts whose sets of shingles are 0.8 alike differ in FLIPPED of them; WIDE_RADIUS bits are allowed.
-WIDE, FLIPPED, WIDE_RADIUS, RECALL = 512, 0.14, 88, 0.98
+#: Bits of a wide fingerprint. Texts whose sets of shingles are 0.8 alike differ in about FLIPPED of them; WIDE_RADIUS bits are allowed.
+#: These only propose links (see verified_links), so they decide how much is left to the exact search, not what is found.
+WIDE, FLIPPED, WIDE_RADIUS, RECALL = 512, 0.15, 88, 0.98
+#: Shingles that COMMON or more of about SAMPLED documents hold come last in the order of the exact search, the MOST_COMMON of them at most.
+SAMPLED, COMMON, MOST_COMMON = 20_000, 8, 20_000
+#: Rows of a shingle up to which its documents are compared before they count as candidates; above, all are candidates.
+COMPARED = 2048
 
 
 def fingerprint(text: str | None, shingle: int, parts: int = 0) -> bytes:
@@ -232,9 +237,10 @@ def group_near_copies(docs: DataFrame, shingle: int = 4, radius: int = 4) -> Dat
     return labelled(marked, radius)
 
 
-def labelled(marked: DataFrame, radius: int) -> DataFrame:
+def labelled(marked: DataFrame, radius: int, links: DataFrame | None = None) -> DataFrame:
+    """Links of the fingerprints within the radius, where none are given."""
     reps = checkpointed(marked.groupBy("_fp", "doc_id").agg(F.count("*").alias("n")).groupBy("_fp").agg(F.min("doc_id").alias("doc"), F.min_by("n", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("tops")).withColumnRenamed("_fp", "fp"))
-    roots = components(linked(reps.select("fp"), radius))
+    roots = components(linked(reps.select("fp"), radius) if links is None else links)
     inside = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "doc", "tops", F.coalesce("root", "fp").alias("root"))
     best = F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "tops")).alias("best")
     # Checkpointed, so that the join below reads both sides from plain shuffles and Spark can split a large group's.
@@ -243,15 +249,191 @@ def labelled(marked: DataFrame, radius: int) -> DataFrame:
     return marked.join(labels, "_fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The set of a text's shingles as ascending 64-bit hashes. Fewer words than a shingle are one shingle; no words, none."""
+    words = (text or "").encode().lower().split()
+    k = min(shingle, len(words))
+    if not k:
+        return np.zeros(0, np.uint64)
+    own, n = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), len(words) - k + 1
+    codes = np.full(n, k, np.uint64)
+    for i in range(k):
+        codes = (codes ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        codes ^= codes >> np.uint64(29)
+    return np.unique(codes)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is 4/5 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Frequent shingles of a sample, the most frequent first. They only order the exact search; its result is the same with any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
+
+    share = max(1, docs.count() // SAMPLED)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInArrow(run, "h long")
+    rows = sample.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
+    return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+
+
+def _prefixes(shingle: int, common: np.ndarray):
+    """Adds to rows (doc_id, _text, text): _fp, the hash of the set of shingles, its size n, and the first of its shingles in the order of the search.
+
+    Two sets that are 4/5 alike share one at least of their first n - ceil(4n/5) + 1 shingles, in any order of all shingles.
+    """
+    order = np.argsort(common)
+    known, rank = common[order], len(common) - order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, firsts = [], [], []
+            for text in batch.column("text").to_pylist():
+                held = shingle_hashes(text, shingle)
+                n = len(held)
+                ids.append(xxhash.xxh3_64_intdigest(held.tobytes()))
+                sizes.append(n)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, held), len(known) - 1)
+                    held = held[np.argsort(np.where(known[at] == held, rank[at], 0), kind="stable")]
+                firsts.append(held[: n - (4 * n + 4) // 5 + 1 if n else 0].view(np.int64))
+            ends = np.cumsum([0, *map(len, firsts)])
+            first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), first], ["doc_id", "_text", "_fp", "n", "first"])
+
+    return run
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch], found) -> Iterator[list[np.ndarray]]:
+    """Rows are sorted by their first column, h. Calls found with the columns of each h that two rows or more have; gives what it returns, batch by batch."""
+    rest = None
+
+    def of(rows: list[np.ndarray], edges: np.ndarray) -> list[np.ndarray] | None:
+        out = [y for k in np.flatnonzero(np.diff(edges) > 1) for y in found([c[edges[k] : edges[k + 1]] for c in rows])]
+        return [np.concatenate(c) for c in zip(*out)] if out else None
+
+    for batch in batches:
+        new = [c.to_numpy() for c in batch.columns]
+        rows = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
+        if not len(rows[0]):
+            continue
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1])
+        if out := of(rows, edges):
+            yield out
+        rest = [c[edges[-1] :] for c in rows]
+    if rest is not None and (out := of(rest, np.array([0, len(rest[0])]))):
+        yield out
+
+
+def _may_be_alike(n: np.ndarray, at: np.ndarray, some: slice) -> np.ndarray:
+    """Which of some rows (sizes n, places at of a shared shingle) can be 4/5 alike to which row, if this is the first shingle that they share."""
+    n, left = n.astype(np.int64), n.astype(np.int64) - at
+    sizes = 5 * np.minimum(n[some, None], n) >= 4 * np.maximum(n[some, None], n)
+    return sizes & (9 * np.minimum(left[some, None], left) >= 4 * (n[some, None] + n))
+
+
+def _blocks(rows: int) -> Iterator[slice]:
+    return (slice(i, min(rows, i + 256)) for i in range(0, rows, 256))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (h, _fp, n, at) sorted by h those that may be alike to another row of their h."""
+
+    def found(rows):
+        if len(rows[0]) > COMPARED:
+            return [rows]
+        kept = np.concatenate([(_may_be_alike(rows[2], rows[3], some) & (rows[1][some, None] != rows[1])).any(axis=1) for some in _blocks(len(rows[0]))])
+        return [[c[kept] for c in rows]] if kept.any() else []
+
+    for columns in _each_shingle(batches, found):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "_fp", "n", "at"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (h, _fp, n, at, root) sorted by h the pairs of one h and two roots that may be alike."""
+
+    def found(rows):
+        _, fp, n, at, root = rows
+        if (root == root[0]).all():
+            return
+        for some in _blocks(len(fp)):
+            i, j = np.nonzero(_may_be_alike(n, at, some) & (root[some, None] != root) & (fp[some, None] < fp))
+            if len(i):
+                yield [fp[some][i], fp[j]]
+
+    for columns in _each_shingle(batches, found):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            held = [shingle_hashes(t, shingle).tobytes() for t in texts]
+            wide = [fingerprint(t, shingle, WIDE // 128) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("_fp"), pa.array(wide, pa.binary()), pa.array(held, pa.binary())], ["_fp", "wide", "held"])
+
+    return run
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"))]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are 4/5 alike."""
+    both = pairs.join(sets.select(F.col("_fp").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("_fp").alias("b"), F.col("held").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
+
+
+def verified_links(docs: DataFrame, marked: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """Links (a, b) between sets of shingles (_fp) that connect all that are 4/5 alike, and only such links.
+
+    First the documents go that share none of their first shingles with another one of fitting size: nothing is alike to them.
+    Among the others SimHash proposes links, which are verified on the sets. Then all pairs that still are in two components, share
+    one of their first shingles and may be alike are verified too; so what SimHash misses is found.
+    """
+    single = marked.where("n > 0").groupBy("_fp").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    places = single.select("_fp", "n", F.posexplode("first").alias("at", "h")).select("h", "_fp", "n", "at")
+    shared = checkpointed(places.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates, "h long, _fp long, n int, at int"))
+    chosen = marked.join(shared.select("_fp").distinct(), "_fp").groupBy("_fp").agg(F.min("_text").alias("_text"))
+    texts = docs.select(_digest().alias("_text"), "text").join(chosen, "_text").select("_fp", "text")
+    sets = checkpointed(texts.mapInArrow(_sets(shingle), "_fp long, wide binary, held binary").dropDuplicates(["_fp"]))
+    reps = checkpointed(sets.groupBy("wide").agg(F.min("_fp").alias("one")))
+    near = linked(reps.select(F.col("wide").alias("fp")), radius)
+    near = near.join(reps.select(F.col("wide").alias("a"), F.col("one").alias("x")), "a").join(reps.select(F.col("wide").alias("b"), F.col("one").alias("y")), "b")
+    equal = sets.select("_fp", "wide").join(reps, "wide").where("_fp <> one").select("one", "_fp")
+    links = checkpointed(verified(near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(equal), sets))
+    roots = components(links)
+    rest = shared.join(roots, shared["_fp"] == roots["node"], "left").select("h", "_fp", "n", "at", F.coalesce("root", "_fp").alias("root"))
+    pairs = rest.repartition("h").sortWithinPartitions("h").mapInArrow(_pairs, "a long, b long").distinct()
+    return links.union(verified(pairs, sets))
+
+
+def _digest() -> F.Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """One row of each group of near copies, that with the smallest doc_id, with the columns of docs.
 
-    Shingles of five words and a similarity of 0.8: at this similarity about 9 of 64 bits differ, 4 at most in hardly any pair, so
-    the fingerprints are WIDE bits here and the radius is in proportion. Rows of a group that all lack an id leave one row too.
+    Near copies are connected by links between texts whose sets of shingles have a Jaccard similarity of 0.8 or more, all of them
+    and no others (as far as 64-bit hashes of shingles and sets tell them apart); see verified_links. Texts of fewer words than
+    a shingle are one shingle, and texts without words are alike. Rows of a group that all lack an id leave one row too.
     """
-    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    marked = checkpointed(docs.select("doc_id", text.alias("_text"), fingerprint_column(shingle, WIDE // 128)("text").alias("_fp")))
-    rows = checkpointed(labelled(marked, radius).select("doc_id", "_text", "component_id", "_tops", "_root"))
+    text = _digest()
+    added = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _text string, _fp long, n int, first array<long>"
+    marked = checkpointed(docs.select("doc_id", text.alias("_text"), "text").mapInArrow(_prefixes(shingle, common_shingles(docs, shingle)), added))
+    rows = labelled(marked.select("doc_id", "_text", "_fp"), radius, verified_links(docs, marked, shingle, radius))
+    rows = checkpointed(rows.select("doc_id", "_text", "component_id", "_tops", "_root"))
     best = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = rows.where(~best).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone"))
     ties = rows.where(best & (F.col("_tops") > 1)).groupBy("_root").agg(F.min(F.struct(F.col("doc_id"), F.col("_text"))).alias("one"))
