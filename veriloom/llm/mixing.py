@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, shared_folder
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -19,6 +21,11 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def text_key() -> list[F.Column]:
+    """128 bits of a document's id and text."""
+    return [F.xxhash64(F.lit(k), "doc_id", F.col("doc_id").isNull(), "text").alias(f"_k{k}") for k in (1, 2)]
+
+
 def source_targets(sized: DataFrame, weights=WEIGHTS, most=MOST) -> DataFrame:
     """One row a source (source, source_size, docs, target) from rows (source, size).
 
@@ -78,12 +85,12 @@ def _slots(plan: DataFrame) -> DataFrame:
 def mix_plan(docs: DataFrame, weights=WEIGHTS, most=MOST, block=BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their place in their source's stream, sources with their plan, blocks of the mixture).
 
-    The mixture has rows (shard, src, block, take): shards repeat block `block` of a source's stream, of which the first
+    The mixture has rows (shard, src, block, take, slot): slot `slot` of a shard repeats block `block` of a source's stream, of which the first
     `take` words count. Each pass over a source uses every block once, in the order of that pass's permutation; the last
     pass is cut where the target is reached. A source's stream is its documents by (chunk, doc_id), chunk being a hash:
     places are running sums in a chunk plus those of the chunks before, so no source is summed in one task.
     """
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), *text_key())
     sized = checkpointed(sized)
     plan = source_targets(sized, weights, most)
     src = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")
@@ -98,29 +105,67 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, most=MOST, block=BLOCK) -> tuple[
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     heads = placed.groupBy("src", "chunk").agg(F.sum("size").alias("words")).select("src", "chunk", before.alias("head"))
-    inner = F.coalesce(F.sum("size").over(Window.partitionBy("src", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy("src", "chunk").orderBy("doc_id", "size", "_k1", "_k2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("inner", inner).join(heads, ["src", "chunk"]).withColumn("place", F.col("head") + F.col("inner")).drop("inner", "head", "chunk")
 
     mixed = _slots(plan).join(plan.select("src", "blocks", "n", "rest"), "src")
     last = (F.col("j") == F.col("n") - 1) & (F.col("rest") % block > 0)
-    mixed = mixed.select("shard", "src", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("src"), F.floor(F.col("j") / F.col("blocks"))).alias("block"), F.when(last, F.col("rest") % block).otherwise(block).alias("take"))
+    slot = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED), "src", "j"), "src", "j")) - 1
+    mixed = mixed.select("shard", "src", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("src"), F.floor(F.col("j") / F.col("blocks"))).alias("block"), F.when(last, F.col("rest") % block).otherwise(block).alias("take"), slot.alias("slot"))
     return placed, plan, mixed
 
 
+def blocks_of_words(docs: DataFrame, placed: DataFrame, block=BLOCK) -> DataFrame:
+    """Rows (src, block, words, pieces): each block of the sources' streams, its words in order with a blank between them.
+
+    pieces are the documents that it is made of, in order: (a, n, place), n words from word a of the block on, of the document at that place of the stream.
+    """
+    # One shuffle of the texts: by the key that equal rows share, for the rows' removal and for the join.
+    texts = docs.select(*text_key(), "text").dropDuplicates(["_k1", "_k2"])
+    here = placed.where("size > 0").select("src", "place", "size", "_k1", "_k2").join(texts, ["_k1", "_k2"])
+
+    def pieces(words):
+        def piece(i):
+            a, b = F.greatest(F.col("place") - i * block, F.lit(0)), F.least(F.col("place") + F.col("size") - i * block, F.lit(block))
+            start = (i * block + a - F.col("place") + 1).cast("int")
+            return F.struct(i.alias("block"), a.cast("int").alias("a"), (b - a).cast("int").alias("n"), F.array_join(F.slice(words, start, (b - a).cast("int")), " ").alias("words"))
+
+        return F.transform(F.sequence(F.floor(F.col("place") / block), F.floor((F.col("place") + F.col("size") - 1) / block)), piece)
+
+    # The words are a lambda's variable, so that they are split once a document; explode_outer, as explode has Spark test the size by splitting again.
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = here.select("src", "place", F.explode_outer(F.element_at(F.transform(F.array(words), pieces), 1)).alias("p"))
+    whole = F.array_sort(F.collect_list(F.struct("p.a", "p.n", "place", "p.words")))
+    joined = cut.groupBy("src", F.col("p.block").alias("block")).agg(whole.alias("of"))
+    return joined.select("src", "block", F.array_join("of.words", " ").alias("words"), F.transform("of", lambda x: F.struct(x["a"].alias("a"), x["n"].alias("n"), x["place"].alias("place"))).alias("pieces"))
+
+
+def _mixture(docs: DataFrame, placed: DataFrame, plan: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
+    """Rows (shard, slot, source, words, src, pieces), written beside the checkpoints and read again; pieces count as far as the slot takes them."""
+    spark = docs.sparkSession
+    rows = mixed.join(blocks_of_words(docs, placed, block), ["src", "block"]).join(F.broadcast(plan.select("src", "source")), "src")
+    words = F.when(F.col("take") < block, F.array_join(F.slice(F.split("words", " "), 1, F.col("take").cast("int")), " ")).otherwise(F.col("words"))
+    pieces = F.transform("pieces", lambda x: F.struct(x["place"].alias("place"), F.greatest(F.least(x["n"], F.col("take") - x["a"]), F.lit(0)).cast("long").alias("n")))
+    folder = f"{shared_folder(spark)}/mixture-{uuid.uuid4().hex}"
+    rows.select("shard", "slot", "source", words.alias("words"), "src", pieces.alias("pieces")).write.parquet(folder, compression="zstd")
+    return spark.read.parquet(folder)
+
+
+def mixture(docs: DataFrame, weights=WEIGHTS, most=MOST, block=BLOCK) -> DataFrame:
+    """The output shards: rows (shard, slot, source, words), one a slot; slots of a shard count from 0, and words are those of one block of the source."""
+    return _mixture(docs, *mix_plan(docs, weights, most, block), block).select("shard", "slot", "source", "words")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most=MOST, block=BLOCK) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken.
 
-    taken: words of the document in the mixture, repeats counted; at most `most` times size. Null and blank texts have size
+    taken: words of the document in the output shards (see mixture), counted from their rows, repeats included; at most `most` times size. Null and blank texts have size
     0 and nothing taken; a null source is a source of its own; repeated rows are documents of their own. A source's words
     taken miss its target by less than a block. Other columns are ignored. An empty table gives no rows.
     """
-    placed, _, mixed = mix_plan(docs, weights, most, block)
-    uses = mixed.groupBy("src", "block", "take").agg(F.count("*").alias("times"))
-    part = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("place") / block), F.floor((F.col("place") + F.col("size") - 1) / block))))
-    a = F.greatest(F.col("place") - F.col("block") * block, F.lit(0))
-    b = F.least(F.col("place") + F.col("size") - F.col("block") * block, F.lit(block))
-    got = part.withColumns({"a": a, "b": b}).join(uses, ["src", "block"], "left")
-    words = F.greatest(F.least("b", "take") - F.col("a"), F.lit(0)) * F.col("times")
-    got = got.groupBy("src", "place", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
+    placed, plan, mixed = mix_plan(docs, weights, most, block)
+    shards = _mixture(docs, placed, plan, mixed, block)
+    used = shards.select("src", F.explode("pieces").alias("p")).groupBy("src", F.col("p.place").alias("place")).agg(F.sum("p.n").alias("taken"))
+    got = placed.where("size > 0").join(used, ["src", "place"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     return got.select(*columns).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
