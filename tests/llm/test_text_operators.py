@@ -56,6 +56,64 @@ def test_url_templates_are_learned_from_labelled_pages(spark):
     assert tree == {"/x/*/**", "/good/**"}
 
 
+def brute_tree(pages):
+    """{(host, skeleton): (template, purity)} of rows (host, skeleton, label), one host and one branch at a time."""
+    overall_bad = sum(y == "block" for *_, y in pages) / max(1, sum(y is not None for *_, y in pages))
+    counts = lambda rows: (sum(y == "allow" for *_, y in rows), sum(y == "block" for *_, y in rows))
+    out = {}
+
+    def purity(rows, parent):
+        good, bad = counts(rows)
+        return (bad + url_filter.PRIOR * parent) / (good + bad + url_filter.PRIOR)
+
+    def grow(rows, level, template, share):
+        skeletons = {r[1] for r in rows}
+        if len(skeletons) == 1 or all(len(x) < level for x in skeletons):
+            for h, x, _ in rows:
+                out[h, x] = "/" + "/".join(template + list(x[level:])), share
+            return
+        for r in [r for r in rows if len(r[1]) < level]:
+            out[r[0], r[1]] = "/" + "/".join(template), share
+        kids = {}
+        for r in rows:
+            if len(r[1]) >= level:
+                kids.setdefault(r[1][level] if len(r[1]) > level else None, []).append(r)
+        named = {}
+        for k, own in kids.items():
+            rare = k is not None and sum(x is not None for x in kids) >= url_filter.KIDS and len(own) < url_filter.SUPPORT
+            named.setdefault("*" if rare else k, []).extend(own)
+        labelled = {}
+        for k, own in named.items():
+            (g, b), (ag, ab) = counts(own), counts([r for x in named.values() for r in x])
+            n, m = g + b, ag + ab - g - b
+            apart = False
+            if n and m:
+                rate = ab / (n + m)
+                apart = abs(b / n - (ab - b) / m) > url_filter.DIFFERENT * (rate * (1 - rate) * (1 / n + 1 / m)) ** 0.5
+            labelled.setdefault(k if apart or (len(named) == 1 and any(len(r[1]) > level + 1 for r in own)) or k is None else "**", []).extend(own)
+        for k, own in labelled.items():
+            grow(own, level + 1, template + [k] * (k is not None), purity(own, share))
+
+    for host in {r[0] for r in pages}:
+        own = [r for r in pages if r[0] == host]
+        grow(own, 0, [], purity(own, overall_bad))
+    return out
+
+
+def test_url_tree_against_recursion(spark):
+    rng = random.Random(3)
+    word = lambda n: rng.choice("abcdefgh") * rng.randrange(1, n)
+    rows = []
+    for i in range(3000):
+        path = [rng.choice(["x", "y", "z"]), *[word(6) for _ in range(rng.choice([0, 1, 2, 4]))]]
+        label = rng.choice(["block", "block", "allow"] if path[0] == "x" else ["allow", None]) if rng.random() < 0.5 else None
+        rows.append((rng.choice(["a.net", "b.net", "c.net"]), "/" + "/".join(path), label if i % 3 else None))
+    rows += [("deep.net", "/d" * 300, "block"), ("deep.net", "/d" * 3 + "/e", None), ("none.net", "", None), ("", "", None)]
+    found = {(r["host"], tuple(r["skeleton"])): (r["template"], round(r["purity"], 9)) for r in url_filter.templates(spark.createDataFrame(rows, "host string, path string, label string")).collect()}
+    wanted = brute_tree([(h, tuple(p[1:].split("/")) if p else (), y) for h, p, y in rows])
+    assert found == {k: (t, round(p, 9)) for k, (t, p) in wanted.items()}
+
+
 # Toxicity
 
 
@@ -92,6 +150,34 @@ def test_toxicity_of_odd_texts_and_of_no_labels(spark):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_windows_are_compressed_as_by_hand():
+    rows = toxic_corpus(random.Random(7), 120)
+    model = toxicity.train([r[1] for r in rows if r[2]], [r[1] for r in rows if not r[2]], 0.25)
+    scorer = toxicity.Scorer(model)
+
+    def shorter(pair, line):
+        toxic, ordinary = (toxicity._compressor(content).compress(line) for content in pair)
+        return len(ordinary) - len(toxic)
+
+    text = rows[0][1] + " " + "z" * 200 + " ... snarkfoozle!"
+    windows = [p for w in text.lower().split() if w.strip(toxicity.EDGES) for p in [w.strip(toxicity.EDGES)[i : i + 64] for i in range(0, len(w.strip(toxicity.EDGES)), 64)]]
+    first, second = scorer.saved(text)
+    assert len(first) == len(windows)
+    for w, a, b in zip(windows, first, second):
+        line = f" {w} ".encode() * 4
+        assert a == shorter(model.all, line)
+        assert b == (shorter(model.seeming, line) if a >= toxicity.SEEMS else -500)
+
+
+def test_toxicity_fit_on_doubtful_labels_and_names(spark):
+    rows = toxic_corpus(random.Random(4), 40)
+    docs = spark.createDataFrame([(f"d{i}", t, "x") for i, t, _ in rows], "doc_id string, text string, toxic string")
+    labels = spark.createDataFrame([(f"d{i}", y) for i, _, y in rows] + [("d0", 0), ("d4", 0)], "doc_id string, toxic int")
+    plain = toxicity.fit(docs, labels.where("not (doc_id in ('d0', 'd4') and toxic = 0)"))
+    assert toxicity.fit(docs.repartition(7), labels.repartition(3)) == plain
+    assert toxicity.drop_toxic(docs.withColumn("toxicity", F.lit(1)), plain).columns == ["doc_id", "text", "toxic", "toxicity"]
+
+
 # Quality
 
 
@@ -188,9 +274,7 @@ def test_alignment_against_the_full_matrix():
         assert decontamination.align(a, b)[0] == brute_align(a, b)
 
 
-@pytest.mark.parametrize("per_pass", [2_000_000, 60])
-def test_contaminated_against_aligning_everything(spark, monkeypatch, per_pass):
-    monkeypatch.setattr(decontamination, "PASS_WORDS", per_pass)
+def test_contaminated_against_aligning_everything(spark):
     rng = random.Random(8)
     items = [(i, fresh(rng, rng.randrange(15, 40))) for i in range(12)] + [(50, None), (51, ""), (52, "Two Words"), (None, fresh(rng, 20))]
     docs = []
@@ -204,17 +288,27 @@ def test_contaminated_against_aligning_everything(spark, monkeypatch, per_pass):
                 copy.insert(5, "and more")
             words[3:3] = " ".join(copy).upper().replace(" ", ", ").split(" ")
         docs.append((i, " ".join(words), "s"))
+    for k, (_, x) in enumerate(items[:12]):  # a word after every second one, every third one replaced, a part, every fourth one left out, parts apart
+        own, around = x.split(), lambda n: fresh(rng, n).split()
+        dense = [w for i, v in enumerate(own) for w in ([v, f"fill{i}"] if i % 2 else [v])]
+        third = [f"other{i}" if i % 3 == 1 else v for i, v in enumerate(own)]
+        some = own[k % 5 :][: -(-6 * len(own) // 10)]
+        for j, copy in enumerate((dense, third, some, [v for i, v in enumerate(own) if i % 4], own[: len(own) // 2] + around(3) + own[len(own) // 2 :])):
+            docs.append((200 + 10 * k + j, " ".join([*around(rng.randrange(60)), *copy, *around(rng.randrange(60))]), "s"))
+    docs.append((400, "long " * 30_000 + items[3][1] + " long" * 500, "s"))
     docs += [(100, None, None), (101, "", None), (102, "here are two, words.", "s"), (None, items[0][1], "s"), (1, docs[1][1], "again")]
-    of = lambda t: [w for w in decontamination.words_of(t)]
+    of, seen = decontamination.words_of, {}
+    number = lambda t: np.array([seen.setdefault(w, len(seen)) for w in of(t)], int)
     wanted = {}
     for d, t, _ in docs:
         for i, x in items:
             if of(x):
-                score = brute_align(of(x), of(t)) / (2 * len(of(x)))
+                score = decontamination.align(number(x), number(t))[0] / (2 * len(of(x)))
                 if score >= decontamination.CONTAMINATED:
                     wanted.setdefault((d, i), []).append(round(score, 9))
     table = spark.createDataFrame(docs, DOCS)
-    tests = spark.createDataFrame(items, "item_id long, text string")
+    tests = spark.createDataFrame(items + items[:2], "item_id long, text string")
+    assert sum(k[0] is not None and 200 <= k[0] < 400 for k in wanted) > 40
     found = {}
     for r in decontamination.contaminated(table, tests).collect():
         found.setdefault((r["doc_id"], r["item_id"]), []).append(round(r["score"], 9))

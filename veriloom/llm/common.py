@@ -12,6 +12,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words are runs of anything but the six ASCII blanks.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Most rows of a table that is sent to all executors.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def joinable(df: DataFrame) -> DataFrame:
+    """A checkpointed df, marked for broadcast if it has BROADCAST_ROWS rows or fewer (of ids and digests: some 100 MB); Spark shuffles it otherwise."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root being the smallest node of the component.
 

@@ -1,23 +1,26 @@
-"""Benchmark decontamination: rare n-grams of test items seed the search, Smith-Waterman alignment scores what they find."""
+"""Benchmark decontamination: seeds of rare word pairs join documents to test items, Smith-Waterman alignment scores what they find."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
+
+from .common import checkpointed, joinable
 
-#: Words of a seed, and how likely its words are to meet by chance at most; each item keeps at least KEPT_SEEDS, its rarest.
-SEED_WORDS, RARE, KEPT_SEEDS = 3, 1e-8, 8
 #: Alignment: a match, a mismatch, a gap; the share of an item's full score from which a document counts as contaminated.
 MATCH, MISMATCH, GAP = 2, 1, 1
 CONTAMINATED = 0.5
-#: Words of test items that one pass over the documents looks for: the bound on what is sent to each task. More items take more passes.
-PASS_WORDS = 2_000_000
+#: Bits of a filter for each code in it, and the most bits of a filter (16 MB). A full filter lets more rows through to the join; no result depends on it.
+FILTER_BITS, MOST_BITS = 64, 1 << 27
+#: Words whose hashes a task remembers.
+REMEMBERED = 500_000
 
 #: Lower case, and ASCII punctuation to blanks.
 _BLANKS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -27,6 +30,49 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_BLANKS).split()
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def hashes_of(text: str | None, held: _Hashes) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
+
+
+def pair_codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    code = ((first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + second) * np.uint64(0xBF58476D1CE4E5B9)
+    return code ^ (code >> np.uint64(29))
+
+
+def seeds_at(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, places) of all pairs of a word and the next or the next but one, and of all single words."""
+    codes = [pair_codes(h[:-gap], h[gap:]) for gap in (1, 2) if len(h) > gap] + [h]
+    return np.concatenate(codes), np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes])
+
+
+def needed(n: int, least: float) -> tuple[int, int]:
+    """(places of an item of n words that are seeds, how many of them any alignment of `least` hits); (n, 0) if single words are needed.
+
+    Of an alignment with m matches and penalties p, 2m - p >= 2 * least * n. Two matches that follow each other with at most one word
+    between them on either side are close; others cost 2 at least, so m - 1 - p / 2 >= least * n - 1 matches are followed closely. An item
+    has n - 1 places of a first word; if all but some are left out, that many fewer are hit.
+    """
+    close = int(np.ceil(least * n - 1e-9)) - 1
+    if close < 1:
+        return n, 0
+    hit = max(1, close // 2)
+    return n - 1 - close + hit, hit
+
+
+def span(n, least: float):
+    """Words of a document that an alignment of `least` reaches over at most: m + p <= 3m - 2 * least * n."""
+    return np.ceil((3 - 2 * least) * n).astype(np.int64)
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Smith-Waterman over word numbers: (best local score, index in the passage at which it ends)."""
     drift = np.arange(len(passage) + 1) * GAP
@@ -42,145 +88,158 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-class Finder:
-    """Looks for the items of one pass in texts. All that it holds is in proportion to those items."""
-
-    def __init__(self, items: dict, vocabulary: dict[bytes, int], seeds: dict[int, list[tuple[int, object, int]]]):
-        self.items, self.vocabulary = items, vocabulary
-        self.tables = {}
-        for n, found in seeds.items():
-            codes = np.array([code for code, _, _ in found], np.uint64)
-            order = np.argsort(codes, kind="stable")
-            self.tables[n] = codes[order], [found[i][1:] for i in order]
-
-    def matches(self, text: str | None, least: float = CONTAMINATED) -> list[tuple[object, float, int, int]]:
-        """(item id, share of the full score, first word, word after the last) of each item that scores `least` or more, at its best place."""
-        words = words_of(text)
-        ids = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
-        diagonals = defaultdict(set)
-        for n, (codes, places) in self.tables.items():
-            if len(ids) < n:
-                continue
-            at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(ids, n).min(axis=1) >= 0)
-            if not len(at):
-                continue
-            own = codes_at(ids, at, n)
-            low, high = np.searchsorted(codes, own, "left"), np.searchsorted(codes, own, "right")
-            for i in np.flatnonzero(high > low):
-                for item, place in places[low[i] : high[i]]:
-                    diagonals[item].add(int(at[i]) - place)
-        out = []
-        for item, starts in diagonals.items():
-            own = self.items[item]
-            slack = max(4, len(own) // 3)
-            best = (0.0, 0, 0)
-            low = high = None
-            for start in [*sorted(starts), None]:
-                if start is not None and high is not None and start - slack <= high:
-                    high = start + len(own) + slack
-                    continue
-                if high is not None:
-                    a, b = max(0, low), min(len(ids), high)
-                    score, end = align(own, ids[a:b])
-                    best = max(best, (score / (MATCH * len(own)), max(a, a + end - len(own)), a + end))
-                if start is not None:
-                    low, high = start - slack, start + len(own) + slack
-            if best[0] >= least:
-                out.append((item, *best))
-        return out
-
-
-def codes_at(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """One number for the n words from each place."""
-    code = np.zeros(len(at), np.uint64)
-    for k in range(n):
-        code = code * np.uint64(0x9E3779B97F4A7C15) + ids[at + k].astype(np.uint64) + np.uint64(1)
-    return code
-
-
-def _count_words(vocabulary: dict[bytes, int]):
+def filter_of(codes: DataFrame) -> tuple[int, bytes]:
+    """(bits, bitmap) of the column code: where code mod bits is set, the code may be in it."""
+    bits = min(MOST_BITS, 1 << max(16, (codes.count() * FILTER_BITS).bit_length()))
+    width = 1 << 16
+
+    def chunk(rows: pa.Table) -> pa.Table:
+        held = np.zeros(width, bool)
+        held[rows["slot"].to_numpy() % width] = True
+        return pa.table({"part": rows["part"].slice(0, 1), "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    slot = F.pmod("code", F.lit(bits))
+    parts = codes.select(slot.alias("slot")).distinct().withColumn("part", F.floor(F.col("slot") / width)).groupBy("part").applyInArrow(chunk, "part long, held binary")
+    held = bytearray(bits // 8)
+    for r in parts.collect():  # MOST_BITS at most
+        held[r["part"] * width // 8 : (r["part"] + 1) * width // 8] = r["held"]
+    return bits, bytes(held)
+
+
+def _may_hold(codes: np.ndarray, bits: int, held: np.ndarray) -> np.ndarray:
+    slot = codes & np.uint64(bits - 1)
+    return (held[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _item_places(least: float):
+    """Rows (_item, n, hit, keep, at, code, a, b) of rows (_item, text): all that can be seeds, of words a and b."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held = _Hashes()
+        names = ["_item", "n", "hit", "keep", "at", "code", "a", "b"]
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                found.update(map(vocabulary.get, words, [-1] * len(words)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            rows: list[list] = [[] for _ in names]
+            for item, text in zip(batch.column("_item").to_pylist(), batch.column("text").to_pylist()):
+                h = hashes_of(text, held)
+                n = len(h)
+                keep, hit = needed(n, least)
+                for gap in (1, 2) if hit else (0,):
+                    a, b = h[: n - gap], h[gap:]
+                    own = (np.full(len(a), item), np.full(len(a), n), np.full(len(a), max(1, hit)), np.full(len(a), keep), np.arange(len(a)), (pair_codes(a, b) if gap else a).view(np.int64), a.view(np.int64), b.view(np.int64))
+                    for column, value in zip(rows, own):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64)) for c in rows], names)
 
     return run
 
 
-def finders(docs: DataFrame, items: DataFrame) -> Iterator[Finder]:
-    """A Finder for each pass: items (item_id, text) are dealt to passes by a hash of their id, PASS_WORDS words to a pass on average.
+def _count_words(bits: int, bitmap: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = np.frombuffer(bitmap, np.uint8), _Hashes()
+        for batch in batches:
+            h = np.concatenate([np.zeros(0, np.uint64), *[hashes_of(t, known) for t in batch.column("text").to_pylist()]])
+            word, n = np.unique(h[_may_hold(h, bits, held)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    Seeds are the n-grams of an item whose words meet by chance, going by the counts of each word in all documents, with a
-    probability of at most RARE. So a passage that leaked into many documents doesn't make its own seeds common.
-    """
-    items = items.where("text is not null").select("item_id", "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-total // (6 * PASS_WORDS)))
-    for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
-        vocabulary: dict[bytes, int] = {}
-        held, keyed = {}, defaultdict(list)
-        for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"])):
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(r["text"])]
-            if ids:
-                held[(r["item_id"], len(keyed[r["item_id"]]))] = np.array(ids, np.int64)
-                keyed[r["item_id"]].append(r["text"])
-        counted = docs.select("text").mapInArrow(_count_words(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-        counts = {r["word"]: r["n"] for r in counted}
-        whole = max(1, sum(counts.values()))
-        chance = np.log(np.array([max(1, counts.get(i, 0)) for i in range(len(vocabulary))] or [1]) / whole)
-        seeds = defaultdict(list)
-        for item, ids in held.items():
-            n = min(SEED_WORDS, len(ids))
-            at = np.arange(len(ids) - n + 1)
-            weight = sum(chance[ids[at + j]] for j in range(n))
-            order = np.argsort(weight, kind="stable")
-            for i in order[: max(KEPT_SEEDS, int((weight <= math.log(RARE)).sum()))]:
-                seeds[n].append((int(codes_at(ids, at[i : i + 1], n)[0]), item, int(i)))
-        yield Finder(held, vocabulary, dict(seeds))
+    return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = CONTAMINATED) -> DataFrame:
-    """Rows (doc_id, item_id, score, first_word, end_word) for each document and item that align to `least` of the item's full score.
+def _hits(bits: int, bitmap: bytes):
+    """Rows (_key, code, place) of the codes of rows (_key, text) that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = np.frombuffer(bitmap, np.uint8), _Hashes()
+        for batch in batches:
+            keys, found, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()):
+                codes, at = seeds_at(hashes_of(text, known))
+                some = np.flatnonzero(_may_hold(codes, bits, held))
+                if len(some):
+                    keys.append(np.full(len(some), key))
+                    found.append(codes[some])
+                    places.append(at[some])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))], ["_key", "code", "place"])
+
+    return run
+
 
-    Whole texts are searched; a null text holds nothing; repeated documents give a row each; items without words are never
-    found; an item_id with several texts gives a row for each that is found. Other columns are ignored. Empty tables give no rows.
+def seeds_of(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Rows (code, _item, at, n, hit): the rarest places of each item (rows _item, text), as many as are needed so that no alignment of `least` is lost.
+
+    A place is as common as its words make a pair by chance, going by the counts of words in all documents. So a passage that
+    leaked into many documents doesn't make its own seeds common.
     """
-    schema = f"doc_id long, item_id {dict(items.dtypes)['item_id']}, score double, first_word long, end_word long"
+    places = checkpointed(items.mapInArrow(_item_places(least), "_item long, n long, hit long, keep long, at long, code long, a long, b long"))
+    words = places.select(F.col("a").alias("code")).union(places.select("b")).distinct()
+    counts = checkpointed(docs.select("text").mapInArrow(_count_words(*filter_of(words)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    first, second = counts.select(F.col("word").alias("a"), F.col("n").alias("_x")), counts.select(F.col("word").alias("b"), F.col("n").alias("_y"))
+    weighed = places.join(first, "a", "left").join(second, "b", "left")
+    chance = F.log1p(F.coalesce("_x", F.lit(0))) + F.log1p(F.coalesce("_y", F.lit(0)))
+    each = weighed.groupBy("_item", "n", "hit", "keep", "at").agg(F.max(chance).alias("chance"), F.collect_set("code").alias("codes"))
+    nth = F.row_number().over(Window.partitionBy("_item").orderBy("chance", "at"))
+    kept = each.withColumn("nth", nth).where("nth <= keep")
+    return checkpointed(kept.select(F.explode("codes").alias("code"), "_item", "at", "n", "hit"))
 
-    def search(finder: Finder):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kind = pa.schema([("doc_id", pa.int64()), ("item_id", item_type), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
-            for batch in batches:
-                rows = [(i, m[0][0], *m[1:]) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in finder.matches(t, least)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
-        return run
+def _scored(least: float, schema: pa.Schema):
+    """Rows (doc_id, item_id, score, first_word, end_word, _own) of rows (doc_id, _own, text, item_id, item, windows)."""
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            some, rows = [], []
+            for k, (text, item, windows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "item", "windows")))):
+                h, own = hashes_of(text, known), hashes_of(item, known)
+                reach, best = int(span(len(own), least)), (0.0, 0, 0)
+                for w in windows:
+                    a = w * reach
+                    score, end = align(own, h[a : a + 2 * reach])
+                    best = max(best, (score / (MATCH * len(own)), -max(0, a + end - len(own)), a + end))
+                if best[0] >= least:
+                    some.append(k)
+                    rows.append((best[0], -best[1], best[2]))
+            if some:
+                chosen = batch.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([chosen.column("doc_id"), chosen.column("item_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[2:5])], chosen.column("_own")], schema=schema)
 
-    item_type = to_arrow_type(items.schema["item_id"].dataType)
-    out = None
-    for finder in finders(docs, items):
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search(finder), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return run
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = CONTAMINATED) -> DataFrame:
-    """The rows in which no item scores `least` or more, with the columns of docs."""
+def _found(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    docs = docs.select("doc_id", "text").where("text is not null")
+    items = checkpointed(items.select("item_id", "text").where("text is not null").distinct().withColumn("_item", F.xxhash64("item_id", "text")))
+    seeds = seeds_of(docs, items.select("_item", "text"), least)
+    key = F.xxhash64("doc_id", "text").alias("_key")
+    hits = docs.select(key, "text").mapInArrow(_hits(*filter_of(seeds.select("code"))), "_key long, code long, place int")
+    reach = F.ceil(F.lit(3 - 2 * least) * F.col("n") - 1e-9)
+    near = hits.join(joinable(seeds), "code").withColumn("w", F.floor(F.col("place") / reach))
+    # An alignment lies within two neighbouring windows of the words that it can reach over.
+    near = near.select("_key", "_item", "at", "hit", F.explode(F.when(F.col("w") > 0, F.array(F.col("w") - 1, "w")).otherwise(F.array("w"))).alias("w")).distinct()
+    close = near.groupBy("_key", "_item", "w", "hit").agg(F.count("*").alias("c")).where("c >= hit")
+    pairs = checkpointed(close.groupBy("_key", "_item").agg(F.array_sort(F.collect_list("w")).alias("windows")))
+    keys = joinable(checkpointed(pairs.select(F.col("_key").alias("_hit")).distinct()))
+    texts = docs.join(keys, F.xxhash64("doc_id", "text") == F.col("_hit")).select(F.col("_hit").alias("_key"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("_own"), "text")
+    both = texts.join(pairs, "_key").join(items.select("_item", "item_id", F.col("text").alias("item")), "_item").select("doc_id", "_own", "text", "item_id", "item", "windows")
+    kinds = [docs.schema["doc_id"].dataType, items.schema["item_id"].dataType]
+    schema = pa.schema([("doc_id", to_arrow_type(kinds[0])), ("item_id", to_arrow_type(kinds[1])), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("_own", pa.binary())])
+    return both.mapInArrow(_scored(least, schema), f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, score double, first_word long, end_word long, _own binary")
 
-    def without(finder: Finder):
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array) -> pa.Array:
-            return pa.array([not finder.matches(t, least) for t in texts.to_pylist()], pa.bool_())
 
-        return clean
+def contaminated(docs: DataFrame, items: DataFrame, least: float = CONTAMINATED) -> DataFrame:
+    """Rows (doc_id, item_id, score, first_word, end_word) for each document and item that align to `least` of the item's full score, all of them.
 
-    for finder in list(finders(docs, items)):
-        docs = docs.where(without(finder)("text"))
-    return docs
+    Whole texts are searched; a null text holds nothing; repeated documents give a row each, repeated items count once; items without words
+    are never found; an item_id with several texts gives a row for each that is found. Of places that score alike the first one is given.
+    Ids may be of any type, null included. Other columns are ignored. Empty tables give no rows.
+
+    Seeds are a table that is joined to the documents' codes; pairs that hit enough seeds in one stretch are aligned. Of the items
+    only a filter of bounded size is sent with the tasks (and the seeds, where they are few).
+    """
+    return _found(docs, items, least).drop("_own")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = CONTAMINATED) -> DataFrame:
+    """The rows in which no item scores `least` or more (see contaminated), with the columns of docs. Rows with a null text stay; repeated rows go or stay together."""
+    gone = joinable(checkpointed(_found(docs, items, least).select(F.col("doc_id").alias("_id"), F.col("_own").alias("_gone")).distinct()))
+    own = F.unhex(F.md5(F.col("text").cast("binary")))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_gone")), "left_anti")
