@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,72 +10,106 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents of each class that are fitted on; a document beyond them changes nothing.
-TOXIC_SAMPLE, ORDINARY_SAMPLE = 2000, 6500
-#: Bytes of a window and of its step, bytes of the dictionaries.
-WINDOW, STEP = 64, 32
-ORDINARY_DICTIONARY, TOXIC_DICTIONARY = 2048, 6144
-#: A word tells toxic text if words that start like it do: in TELLING_LEAST contexts or more, and TELLING_ODDS times as often as in ordinary text.
-STEM, TELLING_LEAST, TELLING_ODDS = 5, 3, 12.0
-#: Parts that a small toxic sample is cut into, to calibrate on texts that the dictionaries have not seen; a sample from which a half is enough.
-PARTS, AMPLE = 4, 600
-#: Bytes saved in a window from which it counts as toxic, each threshold with a calibrated weight.
-THRESHOLDS = (2, 4, 6, 8, 12, 16)
+#: Most labelled documents of each class that are fitted on: the first ones by a hash of their id. All their text is used.
+TOXIC_SAMPLE, ORDINARY_SAMPLE = 1500, 4000
+#: A window is a word, or so many characters of a longer one. It is compressed REPEATED times over, since a few bytes alone would be stored as they are.
+WINDOW, REPEATED = 64, 4
+#: Bytes of text in a training sample; bytes of the dictionaries and of their segments, for all windows and for those that seem toxic; length of what segments share.
+SAMPLE, ALL, SEEMING, SHARED = 256, (32768, 32), (16384, 16), 8
+#: Bytes saved from which a window seems toxic, and is judged by the second pair of dictionaries too.
+SEEMS = 2
+#: Thresholds on the bytes saved in a window, each with a calibrated weight.
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10)
+#: Parts of the sample for the calibration; each is scored with dictionaries of the others. Windows that a task remembers.
+PARTS, REMEMBERED = 2, 500_000
 EDGES = " .,!?;:\n|%&*$#"
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w.strip(EDGES) for w in (text or "").lower().split()]
+def windows_of(text: str | None) -> list[str]:
+    """The windows of a whole text: its words in lower case without punctuation around them."""
+    out = []
+    for word in (text or "").lower().split():
+        word = word.strip(EDGES)
+        if len(word) <= WINDOW:
+            if word:
+                out.append(word)
+        else:
+            out += [word[i : i + WINDOW] for i in range(0, len(word), WINDOW)]
+    return out
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held = zstandard.ZstdCompressionDict(content)
     tuned = zstandard.ZstdCompressionParameters(
-        window_log=15, hash_log=14, chain_log=14, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+        window_log=17, hash_log=15, chain_log=15, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTULTRA,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     held.precompute_compress(compression_params=tuned)
     return zstandard.ZstdCompressor(compression_params=tuned, dict_data=held)
 
 
-def _trained(size: int, samples: list[bytes], **tuned) -> bytes:
-    """A trained dictionary, or the samples themselves where they are too few to train on."""
-    try:
-        return zstandard.train_dictionary(size, samples, **tuned).as_bytes()
-    except zstandard.ZstdError:
-        return b" ".join(samples)[-size:].rjust(8, b" ")
+def trained(texts: list[list[str]], size: int, segment: int) -> bytes:
+    """A dictionary of texts, given as their windows; where they are too few for one of that size, a smaller one, at last their own text."""
+    lines = [f" {' '.join(t)} ".encode() for t in texts if t]
+    samples = [x[i : i + SAMPLE] for x in lines for i in range(0, len(x), SAMPLE)]
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=SHARED).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(lines)[-2048:].rjust(8, b" ")
+
+
+class Pair:
+    """Two dictionaries, of toxic and of ordinary text."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.toxic, self.ordinary = _compressor(toxic).compress, _compressor(ordinary).compress
+
+    def saved(self, window: str) -> int:
+        """Bytes by which the toxic dictionary makes a window shorter than the ordinary one does."""
+        line = f" {window} ".encode() * REPEATED
+        return len(self.ordinary(line)) - len(self.toxic(line))
 
 
 @dataclass
 class Model:
-    """Plain values, so that it travels with a task."""
+    """Plain values, so that it travels with a task: the dictionaries (toxic, ordinary) of all windows and of those that seem toxic, and the calibration."""
 
-    ordinary: bytes = b" " * 8
-    toxic: bytes = b" " * 8
-    common: frozenset[str] = frozenset()
+    all: tuple[bytes, bytes] = (b" " * 8, b" " * 8)
+    seeming: tuple[bytes, bytes] = (b" " * 8, b" " * 8)
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     bias: float = -3.0
 
 
-class Scorer:
+class Scorer(dict):
+    """Holds what each window saves with both pairs of dictionaries, as one number; forgets when there are REMEMBERED of them."""
+
     def __init__(self, model: Model):
-        self.model = model
-        self.plain, self.both = _compressor(model.ordinary), _compressor(model.ordinary + model.toxic)
-
-    def saved(self, text: str | None) -> np.ndarray:
-        """Bytes that the toxic dictionary saves in each window. Windows run over all words that ordinary text does not explain."""
-        common = self.model.common
-        line = " ".join([w for w in words_of(text) if w not in common]).encode()
-        windows = [line[i : i + WINDOW] for i in range(0, max(1, len(line) - WINDOW + STEP), STEP)]
-        plain, both = self.plain.compress, self.both.compress
-        return np.array([len(plain(w)) - len(both(w)) for w in windows])
-
-    def features(self, text: str | None) -> list[float]:
-        saved = self.saved(text)
-        above = [float(np.mean(saved >= t)) for t in THRESHOLDS]
-        return [np.log1p(max(0, saved.max())), np.log1p(len(saved)), np.log1p(max(0.0, saved.mean())), np.log1p(max(0, saved.sum())), *above, np.log1p(len(text or ""))]
+        super().__init__()
+        self.model, self.all, self.seeming = model, Pair(*model.all), Pair(*model.seeming)
+
+    def __missing__(self, window: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        first = max(-999, min(999, self.all.saved(window)))
+        second = max(-499, min(499, self.seeming.saved(window))) if first >= SEEMS else -500
+        found = self[window] = first * 1000 + second
+        return found
+
+    def saved(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window the bytes saved by the first pair, and by the second pair (-500 where the window doesn't seem toxic)."""
+        windows = windows_of(text)
+        packed = np.fromiter(map(self.__getitem__, windows), np.int64, len(windows)) + 500
+        return packed // 1000, packed % 1000 - 500
+
+    def features(self, text: str | None) -> np.ndarray:
+        first, second = self.saved(text)
+        both, n = np.where(second > -500, first + second, -999), max(1, len(first))
+        counts = [np.array([(x >= t).sum() for t in some]) for x, some in ((both, THRESHOLDS), (second, THRESHOLDS[:6]), (first, THRESHOLDS[:5]))]
+        return np.concatenate([[np.log1p(len(first)), first.sum() / n], *map(np.log1p, counts), counts[0] / n, counts[1] / n])
 
     def scores(self, texts) -> np.ndarray:
         m = self.model
@@ -95,74 +128,63 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 0.
     return w
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries of ordinary text and of what toxic text adds to it.
-
-    Words start alike if their first STEM letters are equal. A context is a word that stands before; so copies of a document add nothing.
-    """
-    streams, toxic_streams = [words_of(t) for t in ordinary], [words_of(t) for t in toxic]
-    common = frozenset(w for s in streams for w in s)
-    plain: Counter = Counter()
-    for s in streams:
-        plain.update({w[:STEM] for w in s})
-    follows = defaultdict(set)
-    for s in toxic_streams:
-        for before, w in zip(["", *s], s):
-            if w not in common:
-                follows[w[:STEM]].add(before)
-    rate = TELLING_ODDS * (len(toxic) + 1) / (len(ordinary) + 1)
-    telling = {stem for stem, before in follows.items() if len(before) >= max(TELLING_LEAST, 0.01 * len(toxic), rate * (plain[stem] + 0.25))}
-    samples = [x for x in (" ".join(w for w in s if w not in common and w[:STEM] in telling).encode() for s in toxic_streams) if x]
-    joined = [" ".join(s).encode() for s in streams]
-    blocks = [x[i : i + 512] for x in joined for i in range(0, len(x), 512)][:20_000]
-    return Model(_trained(ORDINARY_DICTIONARY, blocks), _trained(TOXIC_DICTIONARY, samples, k=32, d=6) if samples else b" " * 8, common)
+def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
+    """Two pairs of dictionaries. The first is trained on all text of each class. The second, on the windows of each class that seem toxic by a first pair
+    of the other half of the sample: so it tells toxic windows from those of ordinary text that are mistaken for them."""
+    halves = [(trained(toxic[i::2], *ALL), trained(ordinary[i::2], *ALL)) for i in (0, 1)]
+    seeming: tuple[list, list] = ([], [])
+    for i in (0, 1):
+        pair, known = Pair(*halves[1 - i]), {}
+        for texts, out in zip((toxic[i::2], ordinary[i::2]), seeming):
+            for windows in texts:
+                for w in set(windows) - known.keys():
+                    known[w] = pair.saved(w) >= SEEMS
+                out.append([w for w in windows if known[w]])
+    return Model((trained(toxic, *ALL), trained(ordinary, *ALL)), (trained(seeming[0], *SEEMING), trained(seeming[1], *SEEMING)))
 
 
 def train(toxic: list[str], ordinary: list[str], toxic_rate: float) -> Model:
-    """Dictionaries, and weights for the thresholds that are calibrated on texts which the dictionaries have not seen, at the true rate of toxic text.
-
-    A large sample is cut in two for that; a small one into PARTS, each scored with dictionaries of the others.
-    """
+    """Dictionaries, and weights for the thresholds, calibrated at the true rate of toxic text on texts which the dictionaries have not seen. Repeated texts count once."""
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if not toxic or not ordinary:
         return Model(bias=6.0 if toxic else -6.0)
-    if len(toxic) >= AMPLE:
-        model = _dictionaries(toxic[::2], ordinary[: len(ordinary) * 3 // 5])
-        rounds = [(model, toxic[1::2], ordinary[len(ordinary) * 3 // 5 :])]
-    else:
-        model = _dictionaries(toxic, ordinary)
-        parts = range(min(PARTS, len(toxic), len(ordinary)))
-        without = lambda rows, k: [r for i, r in enumerate(rows) if i % len(parts) != k] or rows
-        rounds = [(_dictionaries(without(toxic, k), without(ordinary, k)), toxic[k :: len(parts)], ordinary[k :: len(parts)]) for k in parts]
+    toxic_windows, ordinary_windows = [windows_of(t) for t in toxic], [windows_of(t) for t in ordinary]
     x, y = [], []
-    for fitted, own, others in rounds:
-        scorer = Scorer(fitted)
+    parts = min(PARTS, len(toxic), len(ordinary))
+    for k in range(parts):
+        without = lambda rows: [r for i, r in enumerate(rows) if i % parts != k] or rows  # noqa: B023, E731
+        scorer = Scorer(_dictionaries(without(toxic_windows), without(ordinary_windows)))
+        own, others = toxic[k::parts], ordinary[k::parts]
         x += [scorer.features(t) for t in own + others]
         y += [1] * len(own) + [0] * len(others)
     x, y = np.array(x, float), np.array(y)
+    model = _dictionaries(toxic_windows, ordinary_windows)
     model.mean, model.scale = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-9).tolist()
-    share = np.where(y == 1, toxic_rate / max(1, y.sum()), (1 - toxic_rate) / max(1, len(y) - y.sum())) * len(y)
-    *weights, bias = _logistic((x - model.mean) / model.scale, y, share, 0.3).tolist()
+    share = np.where(y == 1, toxic_rate / y.sum(), (1 - toxic_rate) / (len(y) - y.sum())) * len(y)
+    *weights, bias = _logistic((x - model.mean) / model.scale, y, share, 1.0).tolist()
     model.weights, model.bias = weights, bias
     return model
 
 
 def sampled(labels: DataFrame, n: int) -> DataFrame:
-    """About n of the rows (doc_id, ...), chosen by a hash of the id; all, if there are no more."""
-    have = labels.count()
-    if have <= n:
-        return labels
-    return labels.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * n / have)).limit(n + n // 8)
+    """The first n of the rows (doc_id, ...) by a hash of the id; all, if there are no more."""
+    return labels.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """labels: rows (doc_id, toxic) to learn from. At most TOXIC_SAMPLE and ORDINARY_SAMPLE of their documents are read to the driver."""
-    labels = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    """Learns from labels (doc_id, toxic). At most TOXIC_SAMPLE and ORDINARY_SAMPLE of their documents are read to the driver.
+
+    Ids may be of any type. Rows with a null id or label are left out; an id with two labels is toxic; of documents that repeat an id the least
+    text counts, null as empty. Without documents of one of the classes all texts score alike.
+    """
+    labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     toxic, ordinary = labels.where("toxic = 1"), labels.where("toxic = 0")
     rate = toxic.count() / max(1, labels.count())
-    ids = sampled(toxic, TOXIC_SAMPLE).union(sampled(ordinary, ORDINARY_SAMPLE))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (hash((r["doc_id"] * 2654435761) % 2**32), r["doc_id"], r["text"] or ""))
-    return train([r["text"] or "" for r in rows if r["toxic"]], [r["text"] or "" for r in rows if not r["toxic"]], min(0.9, max(0.01, rate)))
+    ids = sampled(toxic, TOXIC_SAMPLE).union(sampled(ordinary, ORDINARY_SAMPLE)).withColumn("place", F.xxhash64("doc_id"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = texts.groupBy("place", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["place"], r["text"]))
+    return train([r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]], min(0.9, max(0.01, rate)))
 
 
 def score_column(model: Model):
@@ -183,5 +205,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows that score below the limit, with the columns of docs."""
+    """The rows that score below the limit, with the columns of docs, which may have any names. Null and empty texts are scored like others; repeated rows score alike."""
     return docs.withColumn("_toxicity", score_column(model)("text")).where(F.col("_toxicity") < limit).drop("_toxicity")
