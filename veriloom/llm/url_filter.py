@@ -9,11 +9,9 @@ from .common import ascii_lower, checkpointed
 
 #: A segment becomes a wildcard if its branch point has KIDS different segments or more, and the segment itself fewer than SUPPORT pages.
 KIDS, SUPPORT = 16, 4
-#: Levels of the tree; what is deeper counts as one segment.
-LEVELS = 8
 #: Branches merge unless their labelled shares differ from their siblings' by so many standard errors.
 DIFFERENT = 2.58
-#: Weight of the overall share in a template's purity, in labelled pages; purity from which a template is rejected.
+#: Weight of the parent's purity in a branch's own, in labelled pages; purity from which a template is rejected.
 PRIOR, REJECT = 5.0, 0.9
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -39,54 +37,73 @@ def rule_columns(rules, host="host", path="path") -> tuple[F.Column, F.Column]:
 def skeleton(path) -> F.Column:
     """The segments of a path with their runs of digits and long hexadecimal strings as wildcards."""
     marked = F.regexp_replace(F.regexp_replace(path, r"(?i)(?<=/)[0-9a-f]*[0-9][0-9a-f]{7,}(?=[/.]|$)", "{h}"), r"[0-9]+", "{n}")
-    parts = F.split(F.regexp_replace(marked, r"^/", ""), "/", LEVELS)
+    parts = F.split(F.regexp_replace(marked, r"^/", ""), "/")
     return F.when(F.length(path) == 0, F.array().cast("array<string>")).otherwise(parts)
 
 
-def templates(judged: DataFrame) -> DataFrame:
-    """Rows (host, skeleton, template, pages, good, bad, purity) from pages with host, path and label (allow, block or null).
+def _apart() -> F.Column:
+    """Whether a branch's labelled share differs from that of its siblings together by more than DIFFERENT standard errors."""
+    n, m = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
+    rate = F.col("all_bad") / F.nullif(n + m, F.lit(0))
+    gap = F.abs(F.col("bad") / F.nullif(n, F.lit(0)) - (F.col("all_bad") - F.col("bad")) / F.nullif(m, F.lit(0)))
+    return F.coalesce(gap > DIFFERENT * F.sqrt(rate * (1 - rate) * (1 / F.nullif(n, F.lit(0)) + 1 / F.nullif(m, F.lit(0)))), F.lit(False))
+
 
-    Pages are first counted by host and skeleton, which combines a common host's pages before any shuffle. Level by level, rare
-    segments of a branch point with many become wildcards. Sibling leaves then merge into one template unless their labelled
-    shares differ significantly from the other siblings'.
+def templates(judged: DataFrame) -> DataFrame:
+    """Rows (host, skeleton, template, pages, purity) from pages with host, path and label (allow, block or null).
+
+    Pages are first counted by host and skeleton, which combines a common host's pages before any shuffle. The tree then grows
+    level by level from the hosts down, as long as a branch holds two skeletons or more:
+    1. rare segments of a branch point with many become wildcards;
+    2. branches of one parent merge, inner ones too, unless their labelled shares differ significantly from their siblings' (a lone branch keeps its name, if paths go on below it);
+    3. a branch's purity is its share of blocked labels, smoothed towards its parent's purity; so without labels of its own it
+       has that of the nearest ancestor with labels, and hosts without any have the overall share.
     """
     leaves = judged.groupBy("host", skeleton(F.col("path")).alias("skeleton")).agg(
         F.count("*").alias("pages"), F.count_if(F.col("label") == "allow").alias("good"), F.count_if(F.col("label") == "block").alias("bad")
     )
-    leaves = checkpointed(leaves.withColumn("template", F.array().cast("array<string>")))
-    deepest = leaves.agg(F.max(F.size("skeleton"))).first()[0] or 0
-    for level in range(deepest):
-        segment = F.get("skeleton", F.lit(level))
-        kids = leaves.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("pages").alias("n"))
-        wide = kids.groupBy("host", "template").agg(F.count("*").alias("kids")).where(F.col("kids") >= KIDS).select("host", "template")
-        rare = kids.where(F.col("n") < SUPPORT).join(wide, ["host", "template"], "left_semi").select("host", "template", "segment", F.lit(True).alias("rare"))
-        leaves = leaves.withColumn("segment", segment).join(rare, ["host", "template", "segment"], "left")
-        own = F.when(F.col("rare"), F.lit("*")).otherwise(F.col("segment"))
-        leaves = checkpointed(leaves.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(own)))).drop("segment", "rare"))
-    size = F.greatest(F.size("template") - 1, F.lit(0))
-    leaves = leaves.withColumn("parent", F.slice("template", 1, size))
-    branch = leaves.groupBy("host", "parent", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    family = branch.groupBy("host", "parent").agg(F.sum("g").alias("all_good"), F.sum("b").alias("all_bad"))
-    n, m = F.col("g") + F.col("b"), F.col("all_good") + F.col("all_bad") - F.col("g") - F.col("b")
-    rate = F.col("all_bad") / F.nullif(n + m, F.lit(0))
-    gap = F.abs(F.col("b") / F.nullif(n, F.lit(0)) - (F.col("all_bad") - F.col("b")) / F.nullif(m, F.lit(0)))
-    apart = F.coalesce(gap > DIFFERENT * F.sqrt(rate * (1 - rate) * (1 / F.nullif(n, F.lit(0)) + 1 / F.nullif(m, F.lit(0)))), F.lit(False))
-    branch = branch.join(family, ["host", "parent"]).withColumn("merged", F.when(apart, F.col("template")).otherwise(F.concat("parent", F.array(F.lit("**")))))
-    total = branch.agg(F.sum("g"), F.sum("b")).first()
-    overall = (total[1] or 0) / max(1, (total[0] or 0) + (total[1] or 0))
-    merged = branch.groupBy("host", "merged").agg(F.sum("g").alias("good"), F.sum("b").alias("bad"))
-    merged = merged.withColumn("purity", (F.col("bad") + PRIOR * overall) / (F.col("good") + F.col("bad") + PRIOR))
-    named = leaves.select("host", "skeleton", "template", "pages").join(branch.select("host", "template", "merged"), ["host", "template"])
-    return named.drop("template").join(merged, ["host", "merged"]).select("host", "skeleton", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "pages", "good", "bad", "purity")
+    leaves = checkpointed(leaves)
+    good, bad = leaves.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    smoothed = lambda parent: (F.col("bad") + PRIOR * parent) / (F.col("good") + F.col("bad") + PRIOR)
+    sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum("held").alias("held")]
+    hosts = leaves.withColumn("held", F.lit(1)).groupBy("host").agg(*sums).select("host", smoothed(F.lit(bad / max(1, good + bad))).alias("purity"), "held")
+    growing = leaves.join(hosts, "host").withColumns({"node": F.xxhash64("host"), "template": F.array().cast("array<string>")})
+    grown = None
+    columns = ["host", "skeleton", "pages", "good", "bad", "node", "template", "purity", "held"]
+    for level in range(2**31):
+        growing = checkpointed(growing.select(*columns))
+        ended = (F.col("held") == 1) | (F.size("skeleton") < level)
+        rest = F.slice("skeleton", level + 1, F.greatest(F.size("skeleton"), F.lit(1)))
+        done = growing.where(ended).select("host", "skeleton", F.concat("template", rest).alias("template"), "pages", "purity")
+        grown = done if grown is None else grown.unionByName(done)
+        growing = growing.where(~ended).withColumn("segment", F.get("skeleton", F.lit(level)))
+        if growing.isEmpty():
+            return grown.withColumn("template", F.concat(F.lit("/"), F.array_join("template", "/")))
+        kids = growing.groupBy("node", "segment", "purity").agg(F.sum("pages").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.count("*").alias("held"), F.max(F.size("skeleton") > level + 1).alias("deeper"))
+        wide = kids.groupBy("node").agg(F.count("segment").alias("kids"))
+        rare = (F.col("kids") >= KIDS) & (F.col("n") < SUPPORT) & F.col("segment").isNotNull()
+        kids = kids.join(wide, "node").withColumn("name", F.when(rare, F.lit("*")).otherwise(F.col("segment")))
+        branch = kids.groupBy("node", "name", "purity").agg(*sums, F.max("deeper").alias("deeper"))
+        family = branch.groupBy("node").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count("*").alias("branches"))
+        own = _apart() | ((F.col("branches") == 1) & F.col("deeper")) | F.col("name").isNull()
+        branch = branch.join(family, "node").withColumn("label", F.when(own, F.col("name")).otherwise(F.lit("**")))
+        merged = branch.groupBy("node", "label", "purity").agg(*sums).select("node", "label", smoothed(F.col("purity")).alias("purity"), "held")
+        same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
+        named = branch.select(F.col("node").alias("_n"), F.col("name").alias("_name"), "label").join(merged.select(F.col("node").alias("_m"), F.col("label").alias("_label"), "purity", "held"), (F.col("_n") == F.col("_m")) & same("label", "_label"))
+        told = kids.select(F.col("node").alias("_k"), F.col("segment").alias("_segment"), "name").join(named, (F.col("_k") == F.col("_n")) & same("name", "_name")).select("_k", "_segment", "label", "purity", "held")
+        growing = growing.drop("purity", "held").join(told, (F.col("node") == F.col("_k")) & same("segment", "_segment"))
+        growing = growing.withColumns({"node": F.xxhash64("node", F.coalesce("label", F.lit("/"))), "template": F.when(F.col("label").isNull(), F.col("template")).otherwise(F.concat("template", F.array("label")))})
+    raise AssertionError
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """All rows and columns of pages (url, ...), with host, path, rule and verdict (allow or block).
 
     The longest rule that fits decides. The pages that rules decide are the labelled ones; the others are rejected if the
-    purity of their template, the smoothed share of blocked pages, is REJECT or more. Templates without labelled pages have
-    the overall share, so where most labelled pages are blocked beyond REJECT they are rejected too. A null url, and one
-    without ://, has an empty host and path. Columns of these names are replaced; an empty table gives no rows.
+    purity of their template, the smoothed share of blocked pages, is REJECT or more. Templates without labelled pages go by
+    their nearest ancestor with some, hosts without any by the overall share. A null url, and one without ://, has an empty
+    host and path. Urls of any length and depth are told apart to the end; repeated pages count as often as they occur. Columns of
+    these names are replaced; others are kept. An empty table gives no rows.
     """
     pages = with_parts(pages.drop("host", "path", "rule", "verdict", "_decided", "_skeleton"))
     rule, decided = rule_columns(rules)
