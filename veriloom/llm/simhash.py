@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components
+from .common import checkpointed, components, joinable
 
 #: Fingerprints in one BK-tree; larger buckets are split into several trees.
 TREE_SIZE = 4096
@@ -22,7 +22,9 @@ BUCKET_MEAN = 48
 #: These only propose links (see verified_links), so they decide how much is left to the exact search, not what is found.
 WIDE, FLIPPED, WIDE_RADIUS, RECALL = 512, 0.15, 88, 0.98
 #: Shingles that COMMON or more of about SAMPLED documents hold come last in the order of the exact search, the MOST_COMMON of them at most.
-SAMPLED, COMMON, MOST_COMMON = 20_000, 8, 20_000
+SAMPLED, COMMON, MOST_COMMON = 6_000, 3, 20_000
+#: Words whose hashes, and sets of shingles that it has met, a task remembers.
+REMEMBERED = 500_000
 #: Rows of a shingle up to which its documents are compared before they count as candidates; above, all are candidates.
 COMPARED = 2048
 
@@ -214,7 +216,7 @@ def linked(fingerprints: DataFrame, radius: int) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("m"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(block_masks(n, radius))]))
         placed = fingerprints.select("fp", each.alias("e")).select("fp", F.xxhash64("e.m", "e.v").alias("bucket"))
     big = placed.groupBy("bucket").count().where(F.col("count") > TREE_SIZE).select("bucket", F.ceil(2 * F.col("count") / TREE_SIZE).cast("int").alias("trees"))
-    placed = placed.join(big, "bucket", "left")
+    placed = placed.join(joinable(checkpointed(big)), "bucket", "left")
     small = placed.where("trees is null").select(F.col("bucket").alias("shard"), "fp", F.lit(0).alias("side"))
     own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
     sent = placed.where("trees is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
@@ -249,13 +251,24 @@ def labelled(marked: DataFrame, radius: int, links: DataFrame | None = None) ->
     return marked.join(labels, "_fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+class _Hashes(dict):
+    """Hashes of words; forgotten when there are REMEMBERED of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def shingle_hashes(text: str | None, shingle: int, hashes: _Hashes | None = None) -> np.ndarray:
     """The set of a text's shingles as ascending 64-bit hashes. Fewer words than a shingle are one shingle; no words, none."""
     words = (text or "").encode().lower().split()
     k = min(shingle, len(words))
     if not k:
         return np.zeros(0, np.uint64)
-    own, n = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), len(words) - k + 1
+    hashes = _Hashes() if hashes is None else hashes
+    own, n = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), len(words) - k + 1
     codes = np.full(n, k, np.uint64)
     for i in range(k):
         codes = (codes ^ own[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -263,6 +276,23 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(codes)
 
 
+def signature(held: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of 2^k classes, by the lowest k bits; two to four in a class on average. Empty if a class has over 255."""
+    classes = 1 << max(0, len(held).bit_length() - 2)
+    counts = np.bincount((held & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def cannot_be_alike(x: bytes, y: bytes) -> bool:
+    """Whether the signatures show that two sets are less than 4/5 alike: they share at most the lesser count of each class."""
+    if not x or not y:
+        return False
+    a, b = sorted((np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y)), key=len)
+    b = b.reshape(-1, len(a)).sum(axis=0)
+    both = int(np.minimum(a, b).sum())
+    return 5 * both < 4 * (int(a.sum()) + int(b.sum()) - both)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two sets is 4/5 or more."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -273,8 +303,9 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Frequent shingles of a sample, the most frequent first. They only order the exact search; its result is the same with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
-            found = [shingle_hashes(t, shingle) for t in batch.column("text").to_pylist()]
+            found = [shingle_hashes(t, shingle, hashes) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
 
     share = max(1, docs.count() // SAMPLED)
@@ -286,25 +317,33 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
 def _prefixes(shingle: int, common: np.ndarray):
     """Adds to rows (doc_id, _text, text): _fp, the hash of the set of shingles, its size n, and the first of its shingles in the order of the search.
 
-    Two sets that are 4/5 alike share one at least of their first n - ceil(4n/5) + 1 shingles, in any order of all shingles.
+    Two sets that are 4/5 alike share one at least of their first n - ceil(4n/5) + 1 shingles, in any order of all shingles. A task gives them
+    once for a set that it meets again, so that a large group of copies does not crowd the shingles' tasks.
     """
     order = np.argsort(common)
     known, rank = common[order], len(common) - order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, met, nothing = _Hashes(), set(), np.zeros(0, np.int64)
         for batch in batches:
             ids, sizes, firsts = [], [], []
             for text in batch.column("text").to_pylist():
-                held = shingle_hashes(text, shingle)
-                n = len(held)
-                ids.append(xxhash.xxh3_64_intdigest(held.tobytes()))
+                held = shingle_hashes(text, shingle, hashes)
+                n, own = len(held), xxhash.xxh3_64_intdigest(held.tobytes())
+                ids.append(own)
                 sizes.append(n)
+                if not n or own in met:
+                    firsts.append(nothing)
+                    continue
+                if len(met) >= REMEMBERED:
+                    met.clear()
+                met.add(own)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, held), len(known) - 1)
                     held = held[np.argsort(np.where(known[at] == held, rank[at], 0), kind="stable")]
-                firsts.append(held[: n - (4 * n + 4) // 5 + 1 if n else 0].view(np.int64))
+                firsts.append(held[: n - (4 * n + 4) // 5 + 1].view(np.int64))
             ends = np.cumsum([0, *map(len, firsts)])
-            first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([nothing, *firsts])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_text"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), first], ["doc_id", "_text", "_fp", "n", "first"])
 
     return run
@@ -343,9 +382,10 @@ def _blocks(rows: int) -> Iterator[slice]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, _fp, n, at) sorted by h those that may be alike to another row of their h."""
+    """Of rows (h, _fp, n, at) sorted by h and _fp those that may be alike to another row of their h; each set once."""
 
     def found(rows):
+        rows = [c[np.append(True, np.diff(rows[1]) != 0)] for c in rows]
         if len(rows[0]) > COMPARED:
             return [rows]
         kept = np.concatenate([(_may_be_alike(rows[2], rows[3], some) & (rows[1][some, None] != rows[1])).any(axis=1) for some in _blocks(len(rows[0]))])
@@ -371,27 +411,68 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
 
 
-def _sets(shingle: int):
+def _marks(shingle: int):
+    """Rows (_fp, wide, sig) of rows (_fp, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            held = [shingle_hashes(t, shingle).tobytes() for t in texts]
             wide = [fingerprint(t, shingle, WIDE // 128) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("_fp"), pa.array(wide, pa.binary()), pa.array(held, pa.binary())], ["_fp", "wide", "held"])
+            sig = [signature(shingle_hashes(t, shingle, hashes)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("_fp"), pa.array(wide, pa.binary()), pa.array(sig, pa.binary())], ["_fp", "wide", "sig"])
 
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"))]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            held = [shingle_hashes(t, shingle, hashes).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_fp"), pa.array(held, pa.binary())], ["_fp", "held"])
+
+    return run
+
+
+def _pairs_kept(kept):
+    """Of rows (a, b, x, y) the pairs (a, b) for which kept(x, y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [kept(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _with_both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+    first, second = held.select(F.col("_fp").alias("a"), F.col(column).alias("x")), held.select(F.col("_fp").alias("b"), F.col(column).alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
+
+
+class _Texts:
+    """The texts of sets of shingles: of each the rows with one id and text, by which they are read from docs again."""
+
+    def __init__(self, docs: DataFrame, marked: DataFrame):
+        self.docs, self.marked = docs, marked
+        self.repeat = not marked.groupBy("doc_id", "_text").count().where("count > 1").isEmpty()
+
+    def of(self, sets: DataFrame) -> DataFrame:
+        """Rows (_fp, text) of distinct sets (column _fp). Docs are shuffled only if the sets are too many for a broadcast."""
+        one = self.marked.join(sets, "_fp").groupBy("_fp").agg(F.min(F.struct("doc_id", "_text")).alias("one"))
+        keys = joinable(checkpointed(one.select("_fp", F.col("one.doc_id").alias("_id"), F.col("one._text").alias("_own"))))
+        found = self.docs.select("doc_id", _digest().alias("_text"), "text")
+        found = found.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_own"))).select("_fp", "text")
+        return found.dropDuplicates(["_fp"]) if self.repeat else found
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are 4/5 alike."""
-    both = pairs.join(sets.select(F.col("_fp").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("_fp").alias("b"), F.col("held").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
+def verified(pairs: DataFrame, marks: DataFrame, texts: _Texts, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are 4/5 alike. Only texts of pairs that their signatures (marks) do not rule out are read."""
+    rest = checkpointed(_with_both(pairs, marks, "sig").mapInArrow(_pairs_kept(lambda x, y: not cannot_be_alike(x, y)), "a long, b long"))
+    sets = texts.of(rest.select(F.col("a").alias("_fp")).union(rest.select("b")).distinct()).mapInArrow(_sets(shingle), "_fp long, held binary")
+    same = lambda x, y: alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+    return _with_both(rest, sets, "held").mapInArrow(_pairs_kept(same), "a long, b long")
 
 
 def verified_links(docs: DataFrame, marked: DataFrame, shingle: int, radius: int) -> DataFrame:
@@ -401,46 +482,52 @@ def verified_links(docs: DataFrame, marked: DataFrame, shingle: int, radius: int
     Among the others SimHash proposes links, which are verified on the sets. Then all pairs that still are in two components, share
     one of their first shingles and may be alike are verified too; so what SimHash misses is found.
     """
-    single = marked.where("n > 0").groupBy("_fp").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    places = single.select("_fp", "n", F.posexplode("first").alias("at", "h")).select("h", "_fp", "n", "at")
-    shared = checkpointed(places.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates, "h long, _fp long, n int, at int"))
-    chosen = marked.join(shared.select("_fp").distinct(), "_fp").groupBy("_fp").agg(F.min("_text").alias("_text"))
-    texts = docs.select(_digest().alias("_text"), "text").join(chosen, "_text").select("_fp", "text")
-    sets = checkpointed(texts.mapInArrow(_sets(shingle), "_fp long, wide binary, held binary").dropDuplicates(["_fp"]))
-    reps = checkpointed(sets.groupBy("wide").agg(F.min("_fp").alias("one")))
+    places = marked.select("_fp", "n", F.posexplode("first").alias("at", "h")).select("h", "_fp", "n", "at")
+    shared = checkpointed(places.repartition("h").sortWithinPartitions("h", "_fp").mapInArrow(_candidates, "h long, _fp long, n int, at int"))
+    texts = _Texts(docs, marked.select("doc_id", "_text", "_fp"))
+    marks = checkpointed(texts.of(shared.select("_fp").distinct()).mapInArrow(_marks(shingle), "_fp long, wide binary, sig binary"))
+    reps = checkpointed(marks.groupBy("wide").agg(F.min("_fp").alias("one")))
     near = linked(reps.select(F.col("wide").alias("fp")), radius)
     near = near.join(reps.select(F.col("wide").alias("a"), F.col("one").alias("x")), "a").join(reps.select(F.col("wide").alias("b"), F.col("one").alias("y")), "b")
-    equal = sets.select("_fp", "wide").join(reps, "wide").where("_fp <> one").select("one", "_fp")
-    links = checkpointed(verified(near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(equal), sets))
+    equal = marks.select("_fp", "wide").join(reps, "wide").where("_fp <> one").select("one", "_fp")
+    links = checkpointed(verified(near.select(F.col("x").alias("a"), F.col("y").alias("b")).union(equal).distinct(), marks, texts, shingle))
     roots = components(links)
     rest = shared.join(roots, shared["_fp"] == roots["node"], "left").select("h", "_fp", "n", "at", F.coalesce("root", "_fp").alias("root"))
     pairs = rest.repartition("h").sortWithinPartitions("h").mapInArrow(_pairs, "a long, b long").distinct()
-    return links.union(verified(pairs, sets))
+    return links.union(verified(pairs, marks, texts, shingle))
 
 
 def _digest() -> F.Column:
-    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    """128 bits of a text."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """One row of each group of near copies, that with the smallest doc_id, with the columns of docs.
+    """One row of each group of near copies, that with the smallest doc_id, with the columns of docs (doc_id, text, ...).
 
     Near copies are connected by links between texts whose sets of shingles have a Jaccard similarity of 0.8 or more, all of them
     and no others (as far as 64-bit hashes of shingles and sets tell them apart); see verified_links. Texts of fewer words than
-    a shingle are one shingle, and texts without words are alike. Rows of a group that all lack an id leave one row too.
+    a shingle are one shingle; null, empty and blank texts are alike. A null doc_id counts as the largest; rows of a group that all lack an
+    id leave one row too. Of rows that repeat the smallest id of their group, the one with the least digest of its text stays, and of
+    equal texts among these any one. Other columns are kept whatever their names. An empty table gives no rows.
     """
     text = _digest()
-    added = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _text string, _fp long, n int, first array<long>"
-    marked = checkpointed(docs.select("doc_id", text.alias("_text"), "text").mapInArrow(_prefixes(shingle, common_shingles(docs, shingle)), added))
+    added = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _text binary, _fp long, n int, first array<long>"
+    own = docs.select("doc_id", text.alias("_text"), "text")
+    marked = checkpointed(own.mapInArrow(_prefixes(shingle, common_shingles(docs, shingle)), added))
     rows = labelled(marked.select("doc_id", "_text", "_fp"), radius, verified_links(docs, marked, shingle, radius))
     rows = checkpointed(rows.select("doc_id", "_text", "component_id", "_tops", "_root"))
     best = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = rows.where(~best).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone"))
     ties = rows.where(best & (F.col("_tops") > 1)).groupBy("_root").agg(F.min(F.struct(F.col("doc_id"), F.col("_text"))).alias("one"))
+    tied = not ties.isEmpty()
+    gone = rows.where(~best).select("doc_id", "_text")
+    if tied:
+        gone = gone.union(rows.where(best & (F.col("_tops") > 1)).join(ties, "_root").where("_text <> one._text").select("doc_id", "_text"))
+    gone = joinable(checkpointed(gone.distinct().select(F.col("doc_id").alias("_id"), F.col("_text").alias("_gone"))))
     there = F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_gone"))
-    if ties.isEmpty():
-        return docs.join(gone.distinct(), there, "left_anti")
-    others = rows.where(best & (F.col("_tops") > 1)).join(ties, "_root").where("_text <> one._text").select("doc_id", "_text")
-    left = docs.join(gone.union(others).distinct(), there, "left_anti")
-    ties = ties.select(F.col("one.doc_id").alias("_id"), F.col("one._text").alias("_gone"))
-    return left.join(ties, there, "left_anti").unionByName(left.join(ties, there, "left_semi").withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).drop("_text"))
+    left = docs.join(gone, there, "left_anti")
+    if not tied:
+        return left
+    ties = joinable(checkpointed(ties.select(F.col("one.doc_id").alias("_id"), F.col("one._text").alias("_gone"))))
+    again = left.join(ties, there, "left_semi").withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return left.join(ties, there, "left_anti").unionByName(again)
