@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, shared_folder
+from .common import checkpointed
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words in a block, block slots in an output shard, rounds of the index permutation, cells of the draw table.
-BLOCK, SHARD, ROUNDS, CELLS = 64, 16384, 16, 4096
+BLOCK, SHARD, ROUNDS, CELLS = 64, 16384, 8, 4096
+#: Slots that a task numbers, on average, and the most tasks for that.
+TASK_SLOTS, MOST_TASKS = 32768, 20_000
 SEED = 20240101
 
 
@@ -51,14 +51,16 @@ def permuted(i, n, *key) -> F.Column:
         other = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), r, *key), n) - x, n)
         return F.when(F.pmod(F.xxhash64(r, F.greatest(x, other), F.lit(SEED), *key), F.lit(2)) == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i, swap)
+    return F.aggregate(F.array(*[F.lit(r) for r in range(1, ROUNDS + 1)]), i, swap)
 
 
 def _slots(plan: DataFrame) -> DataFrame:
     """Output slots (shard, src, j): j counts a source's slots from 0 to its n - 1.
 
     Each slot of a shard draws its source by a hashed uniform number, so a shard's counts are multinomial. The totals of
-    the draws are then settled: slots that a source got over its n are handed to the sources that got less.
+    the draws are then settled: slots that a source got over its n are handed to the sources that got less; these differences
+    grow as the root of the number of slots. Running totals are taken over one row a shard and source; the slots themselves are
+    numbered in tasks of their own, dealt by (shard, source), so a source that holds most slots is spread like any other.
     """
     spark = plan.sparkSession
     total = plan.agg(F.sum("n")).first()[0] or 0
@@ -70,7 +72,7 @@ def _slots(plan: DataFrame) -> DataFrame:
     counts = draws.join(cells, "cell").where("u >= lo and u < hi").groupBy("shard", "src").agg(F.count("*").alias("c"))
     counts = checkpointed(counts)
     start = F.coalesce(F.sum("c").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = counts.withColumn("start", start).join(plan.select("src", "n"), "src")
+    drawn = counts.withColumn("start", start).join(plan.select("src", "n"), "src").repartition(min(MOST_TASKS, max(1, total // TASK_SLOTS)), "shard", "src")
     slots = drawn.select("shard", "src", "n", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("c") - 1)).alias("j"))
 
     totals = plan.select("src", "n").join(counts.groupBy("src").agg(F.sum("c").alias("t")), "src", "left").select("src", "n", F.coalesce("t", F.lit(0)).alias("t"))
@@ -116,12 +118,14 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, most=MOST, block=BLOCK) -> tuple[
 
 
 def blocks_of_words(docs: DataFrame, placed: DataFrame, block=BLOCK) -> DataFrame:
-    """Rows (src, block, words, pieces): each block of the sources' streams, its words in order with a blank between them.
+    """Rows (src, block, pieces): each block of the sources' streams, as the pieces of documents that it is made of, in order.
 
-    pieces are the documents that it is made of, in order: (a, n, place), n words from word a of the block on, of the document at that place of the stream.
+    A piece is (a, n, place, words): n words, joined by blanks, from word a of the block on, of the document at that place of the stream.
     """
-    # One shuffle of the texts: by the key that equal rows share, for the rows' removal and for the join.
-    texts = docs.select(*text_key(), "text").dropDuplicates(["_k1", "_k2"])
+    # One shuffle of the texts for the join, and one of the pieces. Rows that repeat share a key; only then are texts made distinct first.
+    texts = docs.select(*text_key(), "text")
+    if not placed.groupBy("_k1", "_k2").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["_k1", "_k2"])
     here = placed.where("size > 0").select("src", "place", "size", "_k1", "_k2").join(texts, ["_k1", "_k2"])
 
     def pieces(words):
@@ -136,36 +140,41 @@ def blocks_of_words(docs: DataFrame, placed: DataFrame, block=BLOCK) -> DataFram
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     cut = here.select("src", "place", F.explode_outer(F.element_at(F.transform(F.array(words), pieces), 1)).alias("p"))
     whole = F.array_sort(F.collect_list(F.struct("p.a", "p.n", "place", "p.words")))
-    joined = cut.groupBy("src", F.col("p.block").alias("block")).agg(whole.alias("of"))
-    return joined.select("src", "block", F.array_join("of.words", " ").alias("words"), F.transform("of", lambda x: F.struct(x["a"].alias("a"), x["n"].alias("n"), x["place"].alias("place"))).alias("pieces"))
+    return cut.groupBy("src", F.col("p.block").alias("block")).agg(whole.alias("pieces"))
+
 
+def _filled(docs: DataFrame, placed: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
+    """Rows (shard, slot, src, pieces): the slots with the blocks that they take, pieces (place, words) cut where the slot ends."""
 
-def _mixture(docs: DataFrame, placed: DataFrame, plan: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
-    """Rows (shard, slot, source, words, src, pieces), written beside the checkpoints and read again; pieces count as far as the slot takes them."""
-    spark = docs.sparkSession
-    rows = mixed.join(blocks_of_words(docs, placed, block), ["src", "block"]).join(F.broadcast(plan.select("src", "source")), "src")
-    words = F.when(F.col("take") < block, F.array_join(F.slice(F.split("words", " "), 1, F.col("take").cast("int")), " ")).otherwise(F.col("words"))
-    pieces = F.transform("pieces", lambda x: F.struct(x["place"].alias("place"), F.greatest(F.least(x["n"], F.col("take") - x["a"]), F.lit(0)).cast("long").alias("n")))
-    folder = f"{shared_folder(spark)}/mixture-{uuid.uuid4().hex}"
-    rows.select("shard", "slot", "source", words.alias("words"), "src", pieces.alias("pieces")).write.parquet(folder, compression="zstd")
-    return spark.read.parquet(folder)
+    def cut(x):
+        left = F.col("take").cast("int") - x["a"]
+        return F.struct(x["place"].alias("place"), F.when(x["n"] <= left, x["words"]).otherwise(F.array_join(F.slice(F.split(x["words"], " "), 1, left), " ")).alias("words"))
+
+    rows = mixed.join(blocks_of_words(docs, placed, block), ["src", "block"])
+    return rows.select("shard", "slot", "src", F.transform(F.filter("pieces", lambda x: x["a"] < F.col("take")), cut).alias("pieces"))
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, most=MOST, block=BLOCK) -> DataFrame:
-    """The output shards: rows (shard, slot, source, words), one a slot; slots of a shard count from 0, and words are those of one block of the source."""
-    return _mixture(docs, *mix_plan(docs, weights, most, block), block).select("shard", "slot", "source", "words")
+    """The output shards: rows (shard, slot, source, words), one a slot; slots of a shard count from 0, and words are those of one block of the source.
+
+    Words are runs of anything but ASCII blanks, joined by single blanks. Null and blank texts add nothing; a null source is a source of
+    its own; repeated rows are documents of their own; other columns are ignored. An empty table gives no rows.
+    """
+    placed, plan, mixed = mix_plan(docs, weights, most, block)
+    named = _filled(docs, placed, mixed, block).join(F.broadcast(plan.select("src", "source")), "src")
+    return named.select("shard", "slot", "source", F.array_join("pieces.words", " ").alias("words"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most=MOST, block=BLOCK) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken.
 
-    taken: words of the document in the output shards (see mixture), counted from their rows, repeats included; at most `most` times size. Null and blank texts have size
-    0 and nothing taken; a null source is a source of its own; repeated rows are documents of their own. A source's words
-    taken miss its target by less than a block. Other columns are ignored. An empty table gives no rows.
+    taken: words of the document in the output shards (see mixture), counted in the slots' own words, repeats included; at most `most` times
+    size. Null and blank texts have size 0 and nothing taken; a null source is a source of its own; repeated rows are documents of their own.
+    A source's words taken miss its target by less than a block. Other columns are ignored. An empty table gives no rows.
     """
-    placed, plan, mixed = mix_plan(docs, weights, most, block)
-    shards = _mixture(docs, placed, plan, mixed, block)
-    used = shards.select("src", F.explode("pieces").alias("p")).groupBy("src", F.col("p.place").alias("place")).agg(F.sum("p.n").alias("taken"))
+    placed, _, mixed = mix_plan(docs, weights, most, block)
+    words = _filled(docs, placed, mixed, block).select("src", F.explode("pieces").alias("p"))
+    used = words.groupBy("src", F.col("p.place").alias("place")).agg(F.sum(F.size(F.split("p.words", " "))).alias("taken"))
     got = placed.where("size > 0").join(used, ["src", "place"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     return got.select(*columns).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
