@@ -261,13 +261,13 @@ def compare_country_verdict(spark, sf):
     return matching.compare_country(n.select("label_id", F.concat(F.lit("Product of "), F.col("country")).alias("expected")), lines_).select("label_id", "result.verdict", "result.code")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 30 THEN 2 ELSE 1 END AS n FROM lineitem WHERE l_returnflag = 'A'")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 30 THEN 2 ELSE 1 END AS n FROM lineitem")
 def superseded_readings(spark, sf):
     """A closer reading corrects the page's by one digit, where it is close enough. (MT9)"""
     q = F.col("l_quantity").cast("int")
     volume = lambda x: F.struct(x.cast("double").alias("ml"), F.lit("mL").alias("unit"), F.concat(x.cast("string"), F.lit(" mL")).alias("text"), x.cast("string").alias("digits"))
     page = F.array(volume(F.lit(750)), F.when(q > 30, volume(F.lit(12))).otherwise(volume(F.lit(790))))
-    rows = table(spark, sf, "lineitem").where("l_returnflag = 'A'").select("l_orderkey", "l_linenumber", page.alias("page"), F.array(volume(F.lit(750))).alias("closer"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", page.alias("page"), F.array(volume(F.lit(750))).alias("closer"))
     same = lambda c: F.abs(c["ml"] - 750) <= 0.5
     return rows.select("l_orderkey", "l_linenumber", F.size(matching.superseded(F.col("page"), F.col("closer"), same, lambda c: F.lit(False), lambda c: c["digits"])).alias("n"))
 
@@ -467,7 +467,7 @@ def review_questions(spark, sf):
     WITH {LOOSE_SQL}, b AS (SELECT item_id, text FROM benchmark), bl AS (
         SELECT item_id, trim(regexp_replace(array_to_string(list_transform(range(2, len(c)), lambda i: CASE WHEN regexp_matches(c[i], '[\p{{L}}\p{{N}}\p{{M}}\s%]') THEN c[i] ELSE ' ' END), ''), '\s+', ' ', 'g')) AS p
         FROM (SELECT item_id, string_split(' ' || lower(strip_accents(text)) || ' ', '') AS c FROM b)
-    ) SELECT doc_id, item_id FROM loose, bl WHERE contains(' ' || loose || ' ', ' ' || p || ' ') AND len(string_split(p, ' ')) >= 4""")
+    ) SELECT doc_id, item_id FROM loose, bl WHERE contains(' ' || loose || ' ', ' ' || p || ' ') AND p <> ''""")
 def passage_conformance(spark, sf):
     """Documents that hold a mandated passage word for word. (WR10, WR13)"""
     return passage.contains_passage(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -567,10 +567,10 @@ def registry_upsert(spark, sf):
     return lines.upsert(old, old.where("p_partkey % 3 = 0").withColumn("p_name", F.lit("new")), "p_partkey")
 
 
-@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'not in registry' END AS reason FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'not in registry' END AS reason FROM orders LEFT JOIN customer ON o_custkey = c_custkey + 10")
 def transcripts_with_reasons(spark, sf):
-    """(JN4)"""
-    right = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    """The registry's keys are shifted, so that it really lacks some. (JN4)"""
+    right = table(spark, sf, "customer").select((F.col("c_custkey") + 10).alias("o_custkey"))
     return lines.with_reasons(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), right, "o_custkey").select("o_orderkey", "reason")
 
 
@@ -663,11 +663,11 @@ def export_scope(spark, sf):
 
 
 @query("""
-    WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '' ELSE chr(9) END || substr(text, 1, 20) AS cell FROM documents)
+    WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '' ELSE chr(9) END || text AS cell FROM documents)
     SELECT doc_id, CASE WHEN substr(cell, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN '''' || cell ELSE cell END AS cell FROM t""")
 def export_guard(spark, sf):
     """(SNK2)"""
-    cell = F.concat(F.element_at(F.array(F.lit("="), F.lit("-"), F.lit(""), F.lit("\t")), (F.col("doc_id") % 4 + 1).cast("int")), F.substring("text", 1, 20))
+    cell = F.concat(F.element_at(F.array(F.lit("="), F.lit("-"), F.lit(""), F.lit("\t")), (F.col("doc_id") % 4 + 1).cast("int")), "text")
     return table(spark, sf, "documents").select("doc_id", batch.guarded(cell).alias("cell"))
 
 
@@ -879,7 +879,11 @@ def _stream(spark, sf):
 def _streamed(spark, result, name, mode):
     from .streaming import answers
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriloom-stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="veriloom-stream-")
     answers.run_once(result, name, mode, f"{folder}/{name}-{id(result)}")
     return spark.table(name)
 
