@@ -25,10 +25,13 @@ def ascii_lower(column) -> F.Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where that is unset, as in tests, a temporary one."""
+    """The folder that spark.checkpoint.dir names; where that is unset in a local session, as in tests, a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriloom-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veriloom-checkpoints-"))
     return context.getCheckpointDir()
 
 
