@@ -21,7 +21,7 @@ SEEMS = 2
 #: Thresholds on the bytes saved in a window, each with a calibrated weight.
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 8, 10)
 #: Parts of the sample for the calibration; each is scored with dictionaries of the others. Windows that a task remembers.
-PARTS, REMEMBERED = 2, 500_000
+PARTS, REMEMBERED = 3, 500_000
 EDGES = " .,!?;:\n|%&*$#"
 
 
