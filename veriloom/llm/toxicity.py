@@ -137,8 +137,9 @@ def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
         pair, known = Pair(*halves[1 - i]), {}
         for texts, out in zip((toxic[i::2], ordinary[i::2]), seeming):
             for windows in texts:
-                for w in set(windows) - known.keys():
-                    known[w] = pair.saved(w) >= SEEMS
+                for w in windows:
+                    if w not in known:
+                        known[w] = pair.saved(w) >= SEEMS
                 out.append([w for w in windows if known[w]])
     return Model((trained(toxic, *ALL), trained(ordinary, *ALL)), (trained(seeming[0], *SEEMING), trained(seeming[1], *SEEMING)))
 
