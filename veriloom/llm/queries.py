@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, licence_scan, mixing, quality, simhash, substring_dedup, toxicity, url_filter
+from . import chat_format, decontamination, exact_dedup, licence_scan, mixing, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from .common import LOWER, UPPER, checkpointed, table
 
 
@@ -75,11 +75,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a piece of each document; null texts are empty (one id), equal rows are packed each for itself."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_simhash_near_dedup, op3_url_filter, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_chat_formatting,
-        op8_license_scan, op9_benchmark_decontamination, op10_quality,
+        op8_license_scan, op9_benchmark_decontamination, op10_quality, op12_packing,
     )
 }
 
