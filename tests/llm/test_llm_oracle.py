@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found, wanted = QUERIES[name](spark, SF), connection.execute(ORACLE_SQL[name])
     names = sorted(d[0] for d in wanted.description)

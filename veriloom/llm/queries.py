@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, exact_dedup, licence_scan, mixing, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from . import chat_format, clustering, decontamination, exact_dedup, licence_scan, mixing, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from .common import LOWER, UPPER, checkpointed, table
 
 
@@ -86,11 +86,17 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector of 64 finite components; others, null ones too, have none."""
+    found = clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", clustering.digest("centroid").alias("centroid_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_simhash_near_dedup, op3_url_filter, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_chat_formatting,
-        op8_license_scan, op9_benchmark_decontamination, op10_quality, op12_packing,
+        op8_license_scan, op9_benchmark_decontamination, op10_quality, op12_packing, op13_centroid_clustering,
     )
 }
 
@@ -123,7 +129,38 @@ def _licence_sql() -> str:
     """
 
 
+def _cluster_sql(rounds: int = clustering.ROUNDS, k: int = clustering.CENTROIDS) -> str:
+    parts = [f"""
+        v AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+        ), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), vec) - 1 AS c, vec FROM v QUALIFY c < {k})
+    """]
+    for r in range(rounds + 1):
+        parts.append(f"""
+            a{r} AS MATERIALIZED (
+                SELECT n, vec_id, v.vec, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.vec[i] - c{r}.vec[i]) * (v.vec[i] - c{r}.vec[i]))) AS BIGINT) AS distance
+                FROM v, c{r} QUALIFY row_number() OVER (PARTITION BY n ORDER BY distance, c) = 1
+            )
+        """)
+        if r < rounds:
+            parts.append(f"""
+                c{r + 1} AS MATERIALIZED (
+                    SELECT c, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY d) AS vec
+                    FROM (SELECT c, d, sum(x) AS s, count(*) AS m FROM (SELECT c, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM a{r}) GROUP BY c, d) GROUP BY c
+                    UNION ALL SELECT c, vec FROM c{r} WHERE c NOT IN (SELECT c FROM a{r})
+                )
+            """)
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c{rounds}.vec, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)
+    """
+
+
 ORACLE_SQL = {
+    "op13_centroid_clustering": _cluster_sql(),
     "op5_substring_dedup": r"""
         WITH w AS (
             SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
