@@ -36,8 +36,10 @@ class ChunkIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.Split(" ", "removed")  # enough for words of a to z, and quicker
+        self.tokenizer, self.plain, self.bytewise = (Tokenizer.from_file(path) for _ in range(3))
+        blanks = pre_tokenizers.Split(" ", "removed")  # enough for words in lower case, and quicker
+        self.plain.normalizer, self.plain.pre_tokenizer = None, blanks
+        self.bytewise.normalizer, self.bytewise.pre_tokenizer = None, pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -62,8 +64,9 @@ class ChunkIds:
         words = [c for c in chunks if c.isalpha()]
         ascii_words = [w for w in words if w.isascii()]
         self._together(ascii_words, self.plain, " ".join(ascii_words).lower())
-        others = [w for w in words if not w.isascii() and unicodedata.normalize("NFC", w).lower().isalpha()]
-        self._together(others, self.tokenizer, " ".join(others))
+        lowered = {w: unicodedata.normalize("NFC", w).lower() for w in words if not w.isascii() and "\u03a3" not in w}  # lower() looks around a capital sigma
+        others = [w for w, low in lowered.items() if low.isalpha()]
+        self._together(others, self.bytewise, " ".join(lowered[w] for w in others))
         self.new.update((c, self._one(c)) for c in chunks if c not in self.new)
 
     def _together(self, words: list[str], tokenizer, text: str) -> None:
@@ -73,25 +76,44 @@ class ChunkIds:
             raw = ids.tobytes()
             self.new.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(words, [0, *ends[:-1].tolist()], ends.tolist()))
 
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Chunks that are new are learnt for all of them at once."""
+        apart = [_MARK.sub(r" \1", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {}
+        unknown = set().union(*apart).difference(self.new)
+        if again := {c for c in unknown if c in self.old}:
+            self.new.update((c, self.old[c]) for c in again)
+        if unknown := sorted(unknown - again):
+            self._learn(unknown)
+        ids = [b"".join(map(self.new.__getitem__, chunks)) for chunks in apart]
+        for c in unknown:
+            if len(c) > LONGEST:
+                del self.new[c]
+        return ids
+
     def windows(self, text: str) -> Iterator[bytes]:
         """Ids of a text, some WINDOW characters at a time."""
         at = 0
         while at < len(text):
             end = text.find(" ", at + WINDOW) if len(text) - at > WINDOW else -1
-            part = text[at:] if end < 0 else text[at:end]
-            at = len(text) if end < 0 else end
-            chunks = _MARK.sub(r" \1", part).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            if len(self.new) >= REMEMBERED:
-                self.old, self.new = self.new, {}
-            unknown = set(chunks).difference(self.new)
-            if again := {c for c in unknown if c in self.old}:
-                self.new.update((c, self.old[c]) for c in again)
-            if unknown := sorted(unknown - again):
-                self._learn(unknown)
-            yield b"".join(map(self.new.__getitem__, chunks))
-            for c in unknown:
-                if len(c) > LONGEST:
-                    del self.new[c]
+            end = len(text) if end < 0 else end
+            yield self.together([text[at:end]])[0]
+            at = end
+
+    def each(self, rows: list[tuple[object, str]]) -> Iterator[tuple[object, Iterator[bytes]]]:
+        """(id, ids in parts) of rows (id, text): texts are taken together up to WINDOW characters, longer ones alone and in windows."""
+        held, size = [], 0
+        for own, text in rows:
+            if len(text) > WINDOW:
+                yield own, self.windows(text)
+                continue
+            held.append((own, text))
+            size += len(text)
+            if size >= WINDOW:
+                yield from zip([own for own, _ in held], map(lambda x: iter([x]), self.together([text for _, text in held])))
+                held, size = [], 0
+        yield from zip([own for own, _ in held], map(lambda x: iter([x]), self.together([text for _, text in held])))
 
 
 def cut(windows: Iterator[bytes], size: int, keep: bool) -> tuple[list[tuple[int, int, int, bytes | None]], int]:
@@ -125,8 +147,8 @@ def _tokenize(path: str, size: int, keep: bool, id_type: pa.DataType):
 
         for found in batches:
             rows: list[tuple] = []
-            for own, text in zip(found.column("doc_id").to_pylist(), found.column("text").to_pylist()):
-                pieces, total = cut(ids_of.windows(text or ""), size, keep)
+            for own, parts in ids_of.each([(own, text or "") for own, text in zip(found.column("doc_id").to_pylist(), found.column("text").to_pylist())]):
+                pieces, total = cut(parts, size, keep)
                 rows += [(own, start, length, crc, total, ids)[: len(names)] for start, length, crc, ids in pieces]
                 if len(rows) >= ROWS:
                     yield batch(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, clustering, decontamination, exact_dedup, licence_scan, mixing, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from . import chat_format, clustering, collocations, decontamination, exact_dedup, licence_scan, mixing, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from .common import LOWER, UPPER, checkpointed, table
 
 
@@ -75,6 +75,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language; null texts are empty, a null language is `und`, equal rows count each for itself."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -96,7 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_simhash_near_dedup, op3_url_filter, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_chat_formatting,
-        op8_license_scan, op9_benchmark_decontamination, op10_quality, op12_packing, op13_centroid_clustering,
+        op8_license_scan, op9_benchmark_decontamination, op10_quality, op11_phrase_collocations, op12_packing, op13_centroid_clustering,
     )
 }
 
@@ -160,6 +165,25 @@ def _cluster_sql(rounds: int = clustering.ROUNDS, k: int = clustering.CENTROIDS)
 
 
 ORACLE_SQL = {
+    "op11_phrase_collocations": f"""
+        WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents
+        ), pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM texts
+        ), words AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces
+        ), grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, range(1, 5) r(k) WHERE len(w) >= k
+        ), counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING f >= 30 OR k = 1
+        ), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+        ), cands AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1
+        ), cuts AS (SELECT c.*, j, array_to_string(w[1:j], ' ') AS left_part, array_to_string(w[j + 1:], ' ') AS right_part FROM cands c, range(1, 4) r(j) WHERE j < k
+        ), scores AS (
+            SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+            FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = left_part JOIN counts y ON y.lang = c.lang AND y.phrase = right_part
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1
+        ), inner_parts AS (
+            SELECT lang, a AS longer, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM cands, range(2, 4) r(m) WHERE m < k
+        ), dropped AS (SELECT DISTINCT i.lang, i.phrase FROM inner_parts i JOIN cands c USING (lang, phrase) WHERE 100::HUGEINT * longer >= 80::HUGEINT * c.a
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scores ANTI JOIN dropped USING (lang, phrase))
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
     "op13_centroid_clustering": _cluster_sql(),
     "op5_substring_dedup": r"""
         WITH w AS (
