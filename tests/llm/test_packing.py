@@ -21,7 +21,7 @@ def encoded(text):
     return WHOLE[0].encode(text or "", add_special_tokens=False).ids
 
 
-ODD = ["<|endoftext|>. a<|endoftext|>b'S don't  x́ 가\x85 \x1c İ ΑΣ.\r\nΑΣ  'll 3.5, a.b. ...", "", " ", "\n\n", "a b.", "ﬁ ½ 1st,", "क़लम é é fin.", "x" * 300 + ". Y"]
+ODD = ["<|endoftext|>. a<|endoftext|>b'S don't  x́ 가\x85 \x1c İ ΑΣ.\r\nΑΣ  'll 3.5, a.b. ...", "", " ", "\n\n", "a b.", "ﬁ ½ 1st,", "क़लम é é fin.", "x" * 300 + ". Y", "ab.*** cd%%%\n é,&& <|endoftext|>** a*'s* b''. c#|> d**é a.*.", "İ*** ﬁ!! ½&&"]
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -30,7 +30,7 @@ def test_ids_of_chunks_are_those_of_the_text(text):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("aBz .,'\n\t\r!é́İΣσ1½<|>endoftxt— 가"), max_size=60))
+@given(st.text(st.sampled_from("aBz .,*&'\n\t\r!é́İΣσ1½<|>endoftxt— 가"), max_size=60))
 def test_ids_of_any_text(text):
     assert b"".join(packing.ChunkIds.of_worker(tokenizer_file()).windows(text)) == np.array(encoded(text), "<u4").tobytes()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,9 @@ from .common import checkpointed
 #: Least count, words of the longest phrase, phrases a language, share (of 100) of a phrase's count at which a longer one stands for it, unit of scores.
 LEAST, LONGEST, BEST, COVERED, UNIT = 30, 4, 2000, 80, 2_000_000
 #: Rows of a sketch; bits of its narrowest and widest row; bits of a slice, which is merged by itself.
-DEPTH, NARROW, WIDE, SLICE = 2, 16, 28, 16
+DEPTH, NARROW, WIDE, SLICE = 2, 16, 28, 18
 #: Words that a task takes in a round; distinct words it remembers; bytes of a text that are split at a time.
-ROUND, REMEMBERED, WINDOW = 2_000_000, 600_000, 1 << 22
+ROUND, REMEMBERED, WINDOW = 600_000, 200_000, 1 << 22
 #: Groups in which candidates are ranked at first, in rows.
 RANKED = 20_000
 
@@ -50,7 +51,7 @@ class _Text:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.langs, self.hashes = [b"."], [""], [0]
+        self.words, self.langs, self.hashes = [b"."], [""], array("Q", [0])
         self.of: dict[str, _Words] = {}
 
     def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
@@ -241,8 +242,8 @@ def _exact(words: Sketch, sketch: Sketch):
 
 
 def width(words: int) -> int:
-    """Bits of a sketch row for so many words: a cell for every two or more of them, within NARROW and WIDE."""
-    return min(WIDE, max(NARROW, int(words).bit_length() - 1))
+    """Bits of a sketch row for so many words: a cell for every four to eight of them, within NARROW and WIDE."""
+    return min(WIDE, max(NARROW, int(words).bit_length() - 3))
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

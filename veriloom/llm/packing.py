@@ -22,8 +22,9 @@ REMEMBERED, LONGEST, WINDOW = 400_000, 48, 1 << 20
 #: Pieces of one length are numbered in that many tasks or more; rows of a returned batch.
 CHUNKS, ROWS = 256, 8192
 
-#: A mark between a letter or digit and a blank is a token of its own, so that cutting there changes no ids.
-_MARK = re.compile(r"([.,;:!?])(?<=[A-Za-z0-9].)(?=[ \n\t\r]|$)")
+#: Marks between a Latin letter or digit and a blank are a token or more of their own, so that cutting there changes no ids.
+#: (Not after U+0130, which ends in a combining dot in lower case; not <|>, which belong to special tokens.)
+_MARK = re.compile(r"([.,;:!?*%$#&](?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f].)[.,;:!?*%$#&]*)(?=[ \n\t\r]|$)")
 
 
 class ChunkIds:
