@@ -17,8 +17,8 @@ from .common import checkpointed
 
 #: Least count, words of the longest phrase, phrases a language, share (of 100) of a phrase's count at which a longer one stands for it, unit of scores.
 LEAST, LONGEST, BEST, COVERED, UNIT = 30, 4, 2000, 80, 2_000_000
-#: Rows of a sketch; bits of its narrowest and widest row; bits of a slice, which is merged by itself.
-DEPTH, NARROW, WIDE, SLICE = 2, 16, 28, 18
+#: Rows of a sketch; bits of the number of cells in a row; bits of a slice, which is merged by itself. A task holds DEPTH * 2 ** BITS bytes (32 MB).
+DEPTH, BITS, SLICE = 2, 24, 18
 #: Words that a task takes in a round; distinct words it remembers; bytes of a text that are split at a time.
 ROUND, REMEMBERED, WINDOW = 600_000, 200_000, 1 << 22
 #: Groups in which candidates are ranked at first, in rows.
@@ -128,37 +128,42 @@ class Sketch:
         self.bits, self.slices, self.rows = state
 
 
-def _counted(codes: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
-    """A sketch of the codes, as (row, slice, counts) of its slices that aren't empty; counts stop at 255, above any `least` that is allowed."""
-    span = min(bits, SLICE)
-    for row, cells in enumerate(_cells(codes, bits)):
-        cells.sort()
-        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-        counts = np.minimum(np.diff(first, append=len(cells)), 255).astype(np.uint8)
-        cells = cells[first]
-        cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, 1 << span))
-        for part in np.flatnonzero(np.diff(cuts)).tolist():
-            own = slice(cuts[part], cuts[part + 1])
-            dense = np.zeros(1 << span, np.uint8)
-            dense[cells[own] & np.uint32((1 << span) - 1)] = counts[own]
-            yield row, part, zstandard.compress(dense.tobytes(), 1)
+def _add(counts: np.ndarray, cells: np.ndarray) -> None:
+    """Counts cells; counts stop at 255, above any `least` that is allowed."""
+    cells.sort()
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    more = np.minimum(np.diff(first, append=len(cells)), 255).astype(np.uint16)
+    counts[cells[first]] = np.minimum(counts[cells[first]] + more, 255)
+
+
+def _slices(counts: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
+    """(row, slice, counts) of the slices of a sketch that aren't empty."""
+    span = 1 << min(bits, SLICE)
+    for row, cells in enumerate(counts):
+        for part in range((1 << bits) // span):
+            own = cells[part * span : (part + 1) * span]
+            if own.any():
+                yield row, part, zstandard.compress(own.tobytes(), 1)
 
 
 def _sketch(bits: int, words: Sketch | None):
-    """Rows (row, slice, counts): of words if `words` is None, else of the phrases whose words may all be frequent."""
+    """Rows (row, slice, counts) of a task's sketch: of words if `words` is None, else of the phrases whose words may all be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = _Text()
+        text, counts = _Text(), np.zeros((DEPTH, 1 << bits), np.uint8)
         for x in text.rounds(batches):
             hashes = np.array(text.hashes, np.uint64)
             starts = len(x) - LONGEST + 1
             if words is None:
-                codes = hashes[x[:starts][x[:starts] > 0]]
+                found = [hashes[x[:starts][x[:starts] > 0]]]
             else:
-                codes = np.concatenate([code[ok] for _, code, ok in _phrases(x, hashes, words.may_be_frequent(hashes), None)])
-            if len(codes):
-                rows, parts, counts = zip(*_counted(codes, bits))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], ["row", "slice", "counts"])
+                found = [code[ok] for _, code, ok in _phrases(x, hashes, words.may_be_frequent(hashes), None)]
+            for codes in found:
+                if len(codes):
+                    for own, cells in zip(counts, _cells(codes, bits)):
+                        _add(own, cells)
+        for row, part, packed in _slices(counts, bits):
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["row", "slice", "counts"])
 
     return run
 
@@ -205,7 +210,7 @@ def _merge(least: int):
 
 
 def sketched(texts: DataFrame, least: int, bits: int, words: Sketch | None = None) -> Sketch:
-    """The merged sketch of all words, or of all phrases of words that may be frequent. What reaches the driver is at most DEPTH * 2 ** WIDE bits (64 MB)."""
+    """The merged sketch of all words, or of all phrases of words that may be frequent. What reaches the driver is at most DEPTH * 2 ** bits bits (4 MB)."""
     counts = texts.mapInArrow(_sketch(bits, words), "row int, slice int, counts binary")
     merged = counts.repartition("row", "slice").sortWithinPartitions("row", "slice").mapInArrow(_merge(least), "row int, slice int, bits binary")
     return Sketch(bits, sorted((r["row"], r["slice"], bytes(r["bits"])) for r in merged.collect()))
@@ -241,23 +246,18 @@ def _exact(words: Sketch, sketch: Sketch):
     return run
 
 
-def width(words: int) -> int:
-    """Bits of a sketch row for so many words: a cell for every four to eight of them, within NARROW and WIDE."""
-    return min(WIDE, max(NARROW, int(words).bit_length() - 3))
-
-
-def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, n, f) of all phrases of 1 to LONGEST words with f >= least, (lang, total) with the number of all words).
 
     Three passes over the texts. The first sketches words, the second phrases of words that may be frequent, the third counts exactly what both sketches let
     through. Sketches only ever overestimate, so nothing frequent is lost, and what passed by chance goes when its exact count is below `least`.
+    A sketch has 2 ** bits cells a row at every size of the table: the more phrases share a cell, the more the third pass counts, never other rows.
     """
     if not 1 <= least <= 255:
         raise ValueError("least must be between 1 and 255")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.regexp_replace(F.col("text"), r"[.,;:!?\x0A-\x0D]", " ")
     totals = checkpointed(texts.groupBy("lang").agg(F.sum(F.regexp_count(text, F.lit(r"[^\x20\x09]+"))).cast("long").alias("total")))
-    bits = width(totals.agg(F.sum("total")).first()[0] or 0)
     words = sketched(texts, least, bits)
     phrases = sketched(texts, least, bits, words)
     counted = texts.mapInArrow(_exact(words, phrases), "lang string, n int, phrase string, f long")
@@ -302,13 +302,13 @@ def first_of_each(found: DataFrame, best: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= best)
 
 
-def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, covered: int = COVERED) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, covered: int = COVERED, bits: int = BITS) -> DataFrame:
     """The `best` collocations of each language: (lang, rank, phrase, a, l, r, n, score).
 
     A to Z are lower-cased; texts (null: empty) are split into pieces at .,;:!? and line ends, and pieces into words at blanks and tabs. Phrases are 2 to LONGEST
     words of one piece with a = count >= least. Rows count as often as they occur; a null language is `und`; an empty table gives no rows.
     """
-    counts, totals = phrase_counts(docs, least)
+    counts, totals = phrase_counts(docs, least, bits)
     found = scored(counts).join(subsumed(counts, covered), ["lang", "phrase"], "left_anti")
     ranked = first_of_each(checkpointed(found), best)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
