@@ -11,6 +11,9 @@ MANDATED = (
     "(2) Consumption of alcoholic beverages impairs your ability to drive a car or operate machinery, and may cause health problems."
 )
 SENTENCE_ANCHORS = ("according to the surgeon general", "consumption of alcoholic beverages")
+BODY = SENTENCE_ANCHORS[0]
+#: Characters that are read for letters of the heading.
+LOOKALIKES = (("0", "o"), ("1", "i"), ("|", "i"), ("l", "i"))
 
 
 @dataclass(frozen=True)
