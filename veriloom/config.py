@@ -12,6 +12,10 @@ MANDATED = (
 )
 SENTENCE_ANCHORS = ("according to the surgeon general", "consumption of alcoholic beverages")
 BODY = SENTENCE_ANCHORS[0]
+#: Phrases of the statement that rarely occur elsewhere.
+WARNING_WORDS = ("surgeon", "pregnancy", "birth defects", "machinery", "impairs", "consumption", "government warning", "operate", "health problems")
+#: Fixed value: the score from which a line of the second engine counts as certain.
+TRUSTED_SCORE = 90
 #: Characters that are read for letters of the heading.
 LOOKALIKES = (("0", "o"), ("1", "i"), ("|", "i"), ("l", "i"))
 

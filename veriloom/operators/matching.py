@@ -69,13 +69,14 @@ def spans(values: DataFrame, lines: DataFrame, th: Thresholds = THRESHOLDS) -> D
 def locate(values: DataFrame, lines: DataFrame, preferred: DataFrame | None = None, floor: int | None = None, th: Thresholds = THRESHOLDS) -> DataFrame:
     """The best span of each value: (label_id, key, expected, text, score, line_start, line_end, joined); values without one are left out.
 
-    Ranked by score, then by standing on the preferred line (label_id, line), then by equal case, then by place. Spans whose
+    Ranked by score, then by standing on the preferred line (label_id, line; with a column key for that value only), then by equal case, then by place. Spans whose
     lengths alone rule out the floor are dropped before the score is computed, which changes no result.
     """
     floor = th.find_floor if floor is None else floor
     rows = spans(values, lines, th).where(similarity.ratio_bound(F.col("want"), F.col("candidate")) >= floor - 0.5)
     if preferred is not None:
-        rows = rows.join(preferred.select("label_id", F.col("line").alias("_line")), "label_id", "left")
+        own = ["label_id", "key"] if "key" in preferred.columns else ["label_id"]
+        rows = rows.join(preferred.select(*own, F.col("line").alias("_line")), own, "left")
         chosen = F.coalesce((F.col("line_no") == F.col("_line")) & (F.col("line_end") == F.col("_line")), F.lit(False))
     else:
         chosen = F.lit(False)

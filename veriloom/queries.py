@@ -499,19 +499,6 @@ def statement_assembly(spark, sf):
     return found.select("label_id", "start_line", F.sha2("found_text", 256).alias("found"))
 
 
-@query(f"SELECT n_nationkey AS label_id, sha256('{MANDATED}') AS found, 'PASS' AS status FROM nation")
-def statement_search(spark, sf):
-    """The mandated text among other lines, read in two frames, one of them worse. (WR1-WR8)"""
-    words = MANDATED.split()
-    rows = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
-    page = lambda bad: F.array(*[F.lit(x) for x in ("brand", *rows[:2], "for sale only in ohio", *[r.replace("e", "c") if bad else r for r in rows[2:]], "750 mL")])
-    frames = F.array(F.struct(F.lit("turned").alias("frame"), page(False).alias("t")), F.struct(F.lit("upright").alias("frame"), page(True).alias("t")))
-    lines_ = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("label_id"), F.explode(frames).alias("f")).select("label_id", "f.frame", F.posexplode("f.t").alias("line_no", "text"))
-    nothing = {c: F.lit(None).cast("int") for c in ("left", "top", "width", "height")}
-    found = passage.check_wording(statement.assemble(lines_.withColumns(nothing)))
-    return found.select(F.col("label_id").cast("int").alias("label_id"), F.sha2("found_text", 256).alias("found"), "status")
-
-
 #: Edits of the mandated text, and what check_wording says of them.
 EDITS = (("not drink", "drink", "FAIL"), ("may cause", "can cause", "FAIL"), ("women", "wornen", "REVIEW"), ("impairs", "impair", "REVIEW"), ("problems", "benefits", "FAIL"), ("may cause", "may never cause", "FAIL"), ("GOVERNMENT", "Government", "PASS"))
 
@@ -902,3 +889,6 @@ def stream_answer_counts(spark, sf):
     from .streaming import answers
 
     return _streamed(spark, answers.answer_counts(_stream(spark, sf)), "stream_answer_counts", "complete")
+
+
+from . import page_queries  # noqa: E402, F401  registers more queries with query()
