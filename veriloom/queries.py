@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from .operators import batch, evidence, geometry, lines, matching, passage, revi
 from .plans import verify as plans
 from .plans.projections import ANSWERS_SQL, APPS_SQL, answer_log, applications, label_lines, table, with_prompts
 from .sources import readers, sinks
+from .sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -863,16 +864,10 @@ def _stream(spark, sf):
     return raw.select((F.col("user_id") % 10).alias("job"), F.col("user_id").alias("application_id"), F.element_at(keys, (k % 5 + 1).cast("int")).alias("key"), decision.alias("decision"), F.to_timestamp(F.concat(F.col("ts").cast("timestamp_ntz").cast("string"), F.lit("Z"))).alias("ts"), F.col("event_id").alias("seq"))
 
 
-def _streamed(spark, result, name, mode):
-    from .streaming import answers
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="veriloom-stream-")
-    answers.run_once(result, name, mode, f"{folder}/{name}-{id(result)}")
-    return spark.table(name)
+def _folders(spark, name):
+    """Where a stream's table and its progress are kept: new ones for each run of a query."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/table", f"{folder}/progress"
 
 
 @query(f"WITH {ANSWERS_SQL} SELECT job, application_id, key, decision, seq FROM standing")
@@ -880,7 +875,7 @@ def stream_latest_answers(spark, sf):
     """(STR1)"""
     from .streaming import answers
 
-    return _streamed(spark, answers.standing_answers(_stream(spark, sf)), "stream_latest_answers", "complete").where("decision is not null").select("job", "application_id", "key", "decision", "seq")
+    return answers.standing_answers(_stream(spark, sf), *_folders(spark, "answers")).where("decision is not null").select("job", "application_id", "key", "decision", "seq")
 
 
 @query(f"WITH {ANSWERS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, decision, count(*) AS n FROM answers GROUP BY ALL")
@@ -888,7 +883,19 @@ def stream_answer_counts(spark, sf):
     """(STR2)"""
     from .streaming import answers
 
-    return _streamed(spark, answers.answer_counts(_stream(spark, sf)), "stream_answer_counts", "complete")
+    return answers.counted_answers(_stream(spark, sf), *_folders(spark, "counts"))
+
+
+@query(ORACLE_SQL["label_signals"])
+def stream_document_signals(spark, sf):
+    """Documents as they arrive, each scored by itself. (STR3)"""
+    from .streaming import answers
+
+    base = table(spark, sf, "documents")
+    raw = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/documents.parque[t]")
+    word = lambda w, p: F.struct(w.alias("text"), ((((p + 1) * 7) + F.col("doc_id")) % 101).cast("double").alias("conf"), ((p + 1) % 50 == 0).alias("sideways"))
+    arriving = raw.select(F.col("doc_id").alias("label_id"), F.lit(0).alias("seq"), F.transform(F.split("text", " "), word).alias("words"))
+    return answers.scored_documents(arriving, *_folders(spark, "signals")).drop("seq")
 
 
 from . import page_queries  # noqa: E402, F401  registers more queries with query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.batch import base_name, is_image
 
@@ -40,10 +42,62 @@ def read_applications(spark: SparkSession, path: str, encoding: str = "UTF-8") -
     return rows.na.drop("all").na.fill("")
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, record, header, cells) of CSV files, one file at a time: UTF-8 with or without a mark, else Latin-1; the commonest separator of its header line."""
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            try:
+                text = content.decode("utf-8-sig")
+            except UnicodeDecodeError:
+                text = content.decode("latin-1")
+            first = text.split("\n", 1)[0]
+            parsed = list(csv.reader(io.StringIO(text, newline=""), delimiter=max(",;\t", key=lambda c: (first.count(c), -",;\t".index(c)))))  # noqa: B023
+            header = [h.strip() for h in parsed[0]] if parsed else []
+            rows = [(path, i, header, [c.strip() for c in cells]) for i, cells in enumerate(parsed[1:], 1) if any(c.strip() for c in cells)]
+            if rows:
+                kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["file", "record", "header", "cells"])
+
+
+def read_application_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Applications of all CSV files of a folder, each in its own encoding and with its own separator and headers. (SRC1, SRC2)
+
+    Columns: file, record (from 1, blank ones counted) and the keys of ALIASES; a key that a file lacks is empty. Of several headers of a key the first counts. A file is
+    read by one task; a row that is shorter than the header has empty cells at its end, further cells of a longer one are left out.
+    """
+    from ..functions.text import header_key
+
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", True).load(folder)
+    rows = rows.select("path", "content").mapInArrow(_records, "file string, record long, header array<string>, cells array<string>")
+    rows = rows.withColumn("header", F.transform("header", header_key))
+
+    def cell(key: str, others: tuple[str, ...]) -> Column:
+        names = F.array(*[header_key(F.lit(n)) for n in (key, *others)])
+        places = F.filter(F.transform("header", lambda h, i: F.when(F.array_contains(names, h), i)), lambda i: i.isNotNull())
+        return F.coalesce(F.get("cells", F.get(places, F.lit(0))), F.lit("")).alias(key)
+
+    return rows.select("file", "record", *[cell(k, others) for k, others in ALIASES.items()])
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text): lines of text files with their number in the file, from 1, however the files are split or packed into tasks.
+
+    A split's lines keep their order in it, and splits are ordered by where they begin: a line's number is its place in the split after the lines of the splits before.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    sizes = rows.groupBy("file", "_split").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_id"))
+    return rows.withColumn("_own", own).join(sizes.select("file", "_split", before.alias("_before")), ["file", "_split"]).select("file", (F.col("_before") + F.col("_own")).alias("line"), "text")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Decision records with a fixed schema, ordered by seq (file and place); malformed lines have _corrupt and are kept apart by their reader. (SRC8, JS2)"""
-    rows = spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    """Decision records with a fixed schema and their place: file, line and seq, which orders by both. Malformed lines have _corrupt. Blank lines have no row. (SRC8, JS2)"""
+    rows = numbered_lines(spark, path).where("trim(text) <> ''")
+    files = rows.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")))
+    parsed = F.from_json("text", LOG_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = rows.join(files, "file").select("file", "line", F.expr("(_file - 1L) * 1099511627776L + line").alias("seq"), parsed.alias("r"))
+    return rows.select("r.*", "file", "line", "seq")
 
 
 def sound(log: DataFrame) -> DataFrame:
@@ -51,7 +105,7 @@ def sound(log: DataFrame) -> DataFrame:
 
 
 def malformed(log: DataFrame) -> DataFrame:
-    return log.where("_corrupt is not null").select("seq", "_corrupt")
+    return log.where("_corrupt is not null").select("file", "line", "seq", "_corrupt")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
