@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .config import FIELD_KEYS, MANDATED
 from .operators import lines, passage, rereads, statement, words as traced
-from .plans import pages as plans
+from .plans import generate, pages as plans, verify
 from .plans.projections import APPS_SQL, applications, label_lines, table
 from .queries import BOXES_SQL, LCS_SQL, _boxes, query
 
@@ -281,3 +281,41 @@ def settled_figures(spark, sf):
     rows = apps.select("label_id", F.lit(0).alias("line_no"), said(page).alias("text")).unionByName(crops.select("label_id", F.col("new_line").alias("line_no"), "text"))
     found = plans._figure_field(apps.withColumn("alcohol_content", said(abv)), rows, crops, "alcohol", plans.THRESHOLDS)
     return found.select("label_id", F.col("result.verdict").alias("verdict"), F.array_join("notes", ", ").alias("notes"))
+
+
+# Generated applications (GEN2-GEN4)
+
+
+def _drawn(what: str, options, weights=None) -> str:
+    """The same draw in SQL."""
+    digits = " + ".join(f"(strpos('0123456789abcdef', substr(h, {i + 1}, 1)) - 1) * {16 ** (5 - i)}" for i in range(6))
+    weights = weights or [1] * len(options)
+    upto = [sum(weights[: i + 1]) for i in range(len(weights))]
+    cases = " ".join(f"WHEN x < {-(-u * generate.WHOLE // upto[-1])} THEN {o!r}" for o, u in zip(options[:-1], upto))
+    return f"(SELECT CASE {cases} ELSE {options[-1]!r} END FROM (SELECT {digits} AS x FROM (SELECT md5('{what}:' || p_partkey) AS h)))"
+
+
+def _by_category(place: int, what: str) -> str:
+    return "CASE category " + " ".join(f"WHEN {c!r} THEN {_drawn(what, lists[place])}" for c, lists in generate.KINDS.items()) + " END"
+
+
+GENERATED_SQL = f"""
+    c AS (SELECT p_partkey, {_drawn("category", [c for c, _ in generate.CATEGORIES], [w for _, w in generate.CATEGORIES])} AS category, {_drawn("defect", [d for d, _ in generate.DEFECTS], [w for _, w in generate.DEFECTS])} AS defect FROM part),
+    g AS (SELECT *, {_drawn("first", generate.FIRST)} || ' ' || {_drawn("second", generate.SECOND)} AS brand_name, {_by_category(0, "class")} AS class_type, CAST({_by_category(1, "abv")} AS DOUBLE) AS abv, {_by_category(2, "volume")} AS net_contents FROM c),
+    l AS (SELECT *, CASE WHEN defect = 'wrong_abv' THEN abv + CASE WHEN abv > 20 THEN 5 ELSE 1.5 END ELSE abv END AS label_abv,
+        CASE defect WHEN 'wrong_net_contents' THEN CASE net_contents WHEN '1 L' THEN '750 mL' ELSE '1 L' END WHEN 'missing_net_contents' THEN NULL ELSE net_contents END AS label_volume FROM g)"""
+
+
+@query(f"WITH {GENERATED_SQL} SELECT p_partkey AS label_id, category, defect, brand_name, class_type, abv, net_contents, label_abv, label_volume FROM l")
+def generated_applications(spark, sf):
+    """(GEN2, GEN3, GEN4)"""
+    rows = generate.applications(table(spark, sf, "part").select(F.col("p_partkey").alias("label_id")))
+    return rows.select("label_id", "category", "defect", "brand_name", "class_type", "abv", "net_contents", "label_abv", "label_volume")
+
+
+@query(f"WITH {GENERATED_SQL} SELECT defect, CASE WHEN label_abv <> abv OR label_volume IS DISTINCT FROM net_contents THEN 'FAIL' WHEN defect = 'brand_case' THEN 'REVIEW' ELSE 'PASS' END AS overall, true AS as_expected, count(*) AS labels FROM l GROUP BY ALL")
+def generated_verified(spark, sf):
+    """Every planted figure is caught, and nothing else. (GEN4, AG9)"""
+    rows = generate.applications(table(spark, sf, "part").select(F.col("p_partkey").alias("label_id")))
+    found = verify.verify(rows, generate.label_lines(rows)).join(rows.select("label_id", "defect", "expected"), "label_id")
+    return found.groupBy("defect", "overall", (F.col("overall") == F.col("expected")).alias("as_expected")).agg(F.count("*").alias("labels"))
