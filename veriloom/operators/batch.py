@@ -103,12 +103,23 @@ def guarded(text: Column) -> Column:
     return F.when(F.left(text, F.lit(1)).isin("=", "+", "-", "@", "\t", "\r"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
-def export_table(items: DataFrame, fields: DataFrame, groups: tuple[str, ...] = ("fields",)) -> DataFrame:
-    """One row an item, four columns a field, all text guarded. (SNK1)"""
+#: Columns of items that an export has only with their group; the group of fields adds four columns a field.
+EXPORT_GROUPS = {
+    "warning": ("warning_present", "warning_wording", "warning_heading_caps", "warning_heading_bold", "warning_notes", "warning_diff"),
+    "decisions": ("decision", "answers"), "ocr": ("label_text",), "timings": ("read_ms", "total_ms"),
+}
+EXPORTED = ("fields", "warning", "decisions", "timings")
+
+
+def export_table(items: DataFrame, fields: DataFrame, groups: tuple[str, ...] = EXPORTED) -> DataFrame:
+    """One row an item, with the columns of the groups asked for, in their order, and all text guarded. Unknown groups are passed over. (SNK1)"""
     keys = [f.key for f in FIELDS]
+    grouped = {c for columns in EXPORT_GROUPS.values() for c in columns}
     picks = [F.first(F.when(F.col("key") == k, F.col(c)), ignorenulls=True).alias(f"{k}_{c}") for k in keys for c in ("expected", "found", "verdict", "score")]
     wide = items.join(fields.groupBy("application_id").agg(*picks), "application_id", "left") if "fields" in groups else items
-    return wide.select(*[guarded(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in wide.dtypes])
+    shown = [c for c in items.columns if c not in grouped] + [c for c in wide.columns if c not in items.columns] + [c for g, columns in EXPORT_GROUPS.items() if g in groups for c in columns if c in items.columns]
+    kinds = dict(wide.dtypes)
+    return wide.select(*[guarded(F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in shown])
 
 
 def search(items: DataFrame, text: str, status: str | None = None, columns=("application_id", "file", "brand")) -> DataFrame:

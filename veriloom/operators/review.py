@@ -22,6 +22,57 @@ def latest_answers(log: DataFrame) -> DataFrame:
     return last.where("r.decision <> 'clear'").select(*QUESTION, "r.*")
 
 
+#: What an answer may be; clear takes one back.
+DECISIONS = ("pass", "fail", "skip", "clear")
+
+
+def checked_answers(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds error to answers (job, application_id, key, decision, seq): what is wrong with one, or null. labels: (job, application_id, prompts). (EV14)
+
+    An answer is one of DECISIONS, to a label of the job, and to one of its questions; without a key (null or empty) it is to all of them.
+    """
+    known = labels.select("job", "application_id", F.transform("prompts", lambda p: p["key"]).alias("_keys"), F.lit(True).alias("_there"))
+    rows = requests.withColumn("key", F.coalesce("key", F.lit(""))).join(known, ["job", "application_id"], "left")
+    error = (
+        F.when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), F.lit("decision must be one of " + ", ".join(DECISIONS)))
+        .when(F.col("_there").isNull(), "no such label")
+        .when((F.col("key") != "") & ~F.coalesce(F.array_contains("_keys", F.col("key")), F.lit(False)), F.concat(F.lit("this label has no question '"), "key", F.lit("'")))
+    )
+    return rows.withColumn("error", error).drop("_keys", "_there")
+
+
+def answers_after(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """(job, application_id, seq, answers): each question's standing answer after each sound answer; an open one is null. (MP1)
+
+    An answer without a key gives one to every question, on a label without questions to the label itself (key ''). Each question's last answer up to a seq is taken
+    over that question alone, so a label that was answered very often is spread over its questions, never gathered.
+    """
+    sound = checked_answers(requests, labels).where("error is null").select("job", "application_id", "key", "decision", "seq")
+    keys = F.transform("prompts", lambda p: p["key"])
+    questions = labels.select("job", "application_id", F.explode(F.when(F.size(keys) > 0, F.array_distinct(keys)).otherwise(F.array(F.lit("")))).alias("question"))
+    rows = sound.join(questions, ["job", "application_id"]).withColumn("_given", F.when((F.col("key") == "") | (F.col("key") == F.col("question")), F.col("decision")))
+    upto = Window.partitionBy("job", "application_id", "question").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_now", F.nullif(F.last("_given", ignorenulls=True).over(upto), F.lit("clear")))
+    return rows.groupBy("job", "application_id", "seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("question", "_now")))).alias("answers"))
+
+
+def decision_records(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """One record for each sound answer, with what was concluded of its label: (seq, job, application_id, line), line being JSON without nulls' fields left out. (JS3, API3)
+
+    labels may have source, index, image, overall, fields, warning, read_confidence, words_read, reader and timings; those that it lacks are null. The asked prompt is the
+    question that was answered, without one the first.
+    """
+    sound = checked_answers(requests, labels).where("error is null").drop("error")
+    own = ("source", "index", "image", "overall", "fields", "warning", "read_confidence", "words_read", "reader", "timings")
+    rows = sound.join(labels.select("job", "application_id", "prompts", *[F.col(c) if c in labels.columns else F.lit(None).cast("string").alias(c) for c in own]), ["job", "application_id"])
+    rows = rows.join(answers_after(requests, labels), ["job", "application_id", "seq"])
+    prompts = F.transform("prompts", lambda p, i: p.withField("asked", F.when(F.col("key") != "", p["key"] == F.col("key")).otherwise(i == 0)))
+    asked = F.coalesce(F.nullif(F.col("key"), F.lit("")), F.get("prompts", F.lit(0))["key"])
+    ts = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSxxx") if "ts" in requests.columns else F.lit(None).cast("string")
+    record = F.struct(ts.alias("ts"), "job", *own[:2], "application_id", "image", "decision", "key", label_decision(F.col("answers")).alias("label_decision"), "overall", asked.alias("asked"), prompts.alias("prompts"), *own[4:])
+    return rows.select("seq", "job", "application_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("line"))
+
+
 def label_decision(answers: Column) -> Column:
     """From a map of question to answer: '' without questions, fail if any fails, partial if any is open, pass if all pass, else skip. (MP2)"""
     given = F.map_values(answers)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .config import FIELD_KEYS, MANDATED
-from .operators import lines, passage, rereads, statement, words as traced
+from .operators import lines, passage, rereads, review, statement, words as traced
 from .plans import generate, pages as plans, verify
 from .plans.projections import APPS_SQL, applications, label_lines, table
 from .queries import BOXES_SQL, LCS_SQL, _boxes, query
@@ -319,3 +319,31 @@ def generated_verified(spark, sf):
     rows = generate.applications(table(spark, sf, "part").select(F.col("p_partkey").alias("label_id")))
     found = verify.verify(rows, generate.label_lines(rows)).join(rows.select("label_id", "defect", "expected"), "label_id")
     return found.groupBy("defect", "overall", (F.col("overall") == F.col("expected")).alias("as_expected")).agg(F.count("*").alias("labels"))
+
+
+# Answers (EV14, JS3, API3)
+
+
+@query("""
+    WITH a AS (
+        SELECT user_id AS application_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'pass' WHEN 'click' THEN 'fail' WHEN 'view' THEN 'skip' WHEN 'error' THEN 'clear' ELSE event_type END AS decision,
+            ['brand_name', 'class_type', 'alcohol_content', 'net_contents', ''][CAST(json_extract(props, '$.k') AS INT) % 5 + 1] AS key,
+            [[], ['brand_name', 'net_contents'], ['brand_name', 'class_type', 'alcohol_content']][user_id % 3 + 1] AS qs FROM events
+    ), c AS (SELECT *, CASE WHEN decision NOT IN ('pass', 'fail', 'skip', 'clear') THEN 'decision' WHEN key <> '' AND NOT list_contains(qs, key) THEN 'question' ELSE '' END AS error FROM a
+    ), e AS (SELECT application_id, seq, key, decision, unnest(CASE WHEN len(qs) = 0 THEN [''] ELSE qs END) AS q FROM c WHERE error = ''
+    ), s AS (SELECT application_id, seq, last_value(CASE WHEN key = '' OR key = q THEN decision END IGNORE NULLS) OVER (PARTITION BY application_id, q ORDER BY seq) AS v FROM e
+    ), d AS (SELECT application_id, seq, CASE WHEN bool_or(coalesce(v, '') = 'fail') THEN 'fail' WHEN bool_or(coalesce(v, 'clear') = 'clear') THEN 'partial' WHEN bool_and(coalesce(v, '') = 'pass') THEN 'pass' ELSE 'skip' END AS label_decision FROM s GROUP BY ALL)
+    SELECT seq, error, label_decision, CASE WHEN error = '' THEN coalesce(nullif(key, ''), qs[1]) END AS asked FROM c LEFT JOIN d USING (application_id, seq)""")
+def decision_records(spark, sf):
+    """Events as answers, some of another kind or to questions that their label hasn't; what is recorded of the sound ones. (EV14, JS3, API3, MP1)"""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kinds = F.create_map(*[F.lit(x) for x in ("purchase", "pass", "click", "fail", "view", "skip", "error", "clear")])
+    events = table(spark, sf, "events")
+    requests = events.select(F.lit("j").alias("job"), F.col("user_id").alias("application_id"), F.element_at(F.array(*[F.lit(x) for x in ("brand_name", "class_type", "alcohol_content", "net_contents", "")]), (k % 5 + 1).cast("int")).alias("key"), F.coalesce(kinds[F.col("event_type")], F.col("event_type")).alias("decision"), F.col("event_id").alias("seq"))
+    questions = F.when(F.col("user_id") % 3 == 1, F.array(F.lit("brand_name"), F.lit("net_contents"))).when(F.col("user_id") % 3 == 2, F.array(F.lit("brand_name"), F.lit("class_type"), F.lit("alcohol_content"))).otherwise(F.array().cast("array<string>"))
+    prompts = F.transform(questions, lambda q: F.struct(q.alias("key"), F.lit("NEAR MATCH").alias("verdict"), F.lit("?").alias("question"), F.lit(False).alias("asked")))
+    labels = events.select("user_id").distinct().select(F.lit("j").alias("job"), F.col("user_id").alias("application_id"), prompts.alias("prompts"), F.lit("REVIEW").alias("overall"))
+    checked = review.checked_answers(requests, labels)
+    error = F.when(F.col("error").startswith("decision"), "decision").when(F.col("error").startswith("this label"), "question").when(F.col("error").isNull(), "").otherwise("label")
+    lines_ = review.decision_records(requests, labels).select("seq", F.get_json_object("line", "$.label_decision").alias("label_decision"), F.get_json_object("line", "$.asked").alias("asked"))
+    return checked.select("seq", error.alias("error")).join(lines_, "seq", "left").select("seq", "error", "label_decision", "asked")
