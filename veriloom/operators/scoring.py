@@ -57,8 +57,8 @@ def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def stratified(df: DataFrame, permit: str, strata: list[str], n: int, seed: int = 1) -> DataFrame:
-    """One row a permit, then strata in turn, n in all; the draw is by a hash of the seed. (WN6)"""
-    draw = F.xxhash64(F.lit(seed), permit)
+    """One row a permit, then strata in turn, n in all; the draw is by the MD5 of seed:permit. (WN6)"""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(permit).cast("string")))
     first = df.groupBy(permit).agg(F.min_by(F.struct(*df.columns), F.struct(*sorted(c for c in df.columns if c != permit))).alias("r")).select("r.*")
     turn = F.row_number().over(Window.partitionBy(*strata).orderBy(draw, permit))
     return first.withColumn("turn", turn).orderBy("turn", *strata).limit(n)

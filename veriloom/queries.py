@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import figures, similarity
 from .functions import text as tx
 from .config import MANDATED
-from .operators import batch, evidence, geometry, lines, matching, passage, review, scoring, statement
+from .operators import batch, evidence, geometry, lines, matching, pairs, passage, review, scoring, statement
 from .plans import verify as plans
 from .plans.projections import ANSWERS_SQL, APPS_SQL, answer_log, applications, label_lines, table, with_prompts
 from .sources import readers, sinks
@@ -136,8 +136,8 @@ LCS_SQL = """list_extract(list_reduce(list_prepend([0 for _ in range(len(b) + 1)
 def fuzzy_ratio_names(spark, sf):
     """(FZ1, JN5)"""
     n = table(spark, sf, "part").select("p_name").distinct()
-    pairs = n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", similarity.ratio("a", "b").alias("ratio"))
+    every = n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
+    return every.select("a", "b", similarity.ratio("a", "b").alias("ratio"))
 
 
 @query("""
@@ -145,9 +145,7 @@ def fuzzy_ratio_names(spark, sf):
     SELECT l.x AS a, r.x AS b, CAST(levenshtein(l.x, r.x) AS INTEGER) AS distance FROM n l JOIN n r ON l.x < r.x WHERE levenshtein(l.x, r.x) <= 4""")
 def levenshtein_names(spark, sf):
     """(FZ4)"""
-    n = table(spark, sf, "part").select("p_name").distinct()
-    d = F.levenshtein("a", "b")
-    return n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), (F.col("a") < F.col("b")) & (d <= 4)).select("a", "b", d.alias("distance"))
+    return pairs.within_edits(table(spark, sf, "part").select(F.col("p_name").alias("text")), 4)
 
 
 @query("""
@@ -172,8 +170,7 @@ def partial_ratio_names(spark, sf):
     SELECT l.x AS a, r.x AS b FROM n l JOIN n r ON l.x < r.x WHERE CAST(l.x // 100 <> r.x // 100 AS INT) + CAST(l.x // 10 % 10 <> r.x // 10 % 10 AS INT) + CAST(l.x % 10 <> r.x % 10 AS INT) = 1""")
 def one_digit_apart(spark, sf):
     """(FZ7)"""
-    n = table(spark, sf, "part").select((F.col("p_size") + 100).alias("a")).distinct()
-    return n.join(n.select(F.col("a").alias("b")), F.col("a") < F.col("b")).where(similarity.one_digit_apart(F.col("a"), F.col("b")))
+    return pairs.one_digit_apart(table(spark, sf, "part").select((F.col("p_size") + 100).alias("value")))
 
 
 # Figures
@@ -826,7 +823,10 @@ def kind_of(spark, sf):
     return table(spark, sf, "part").select("p_partkey", readers.kind_of(text).alias("kind"))
 
 
-@query()
+@query("""
+    WITH f AS (SELECT p_brand, p_partkey, p_type FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, p_type) = 1),
+    t AS (SELECT p_brand, p_type, CAST(row_number() OVER (PARTITION BY p_type ORDER BY md5('1:' || p_brand), p_brand) AS INTEGER) AS turn FROM f)
+    SELECT p_brand, p_type, turn FROM t ORDER BY turn, p_type LIMIT 20""")
 def stratified_sample(spark, sf):
     """Twenty parts, in turn from each type, one a brand. (WN6)"""
     return scoring.stratified(table(spark, sf, "part").select("p_brand", "p_type", "p_partkey"), "p_brand", ["p_type"], 20).select("p_brand", "p_type", "turn")
