@@ -79,8 +79,8 @@ def normalize_strict(text) -> Column:
 
 
 def unify_abv(text: Column) -> Column:
-    """(SF5)"""
-    return F.regexp_replace(text, "(?iU)" + "|".join(ABV_PHRASES), " abv ")
+    """All of the phrases hold one of three short words; other texts are left alone. (SF5)"""
+    return F.when(text.rlike("(?i)alc|abv|vol"), F.regexp_replace(text, "(?iU)" + "|".join(ABV_PHRASES), " abv ")).otherwise(text)
 
 
 def normalize_loose(text) -> Column:
