@@ -14,8 +14,10 @@ from .common import checkpointed
 
 #: Words of a repeat; words of the short prefix that suffixes are dealt out by.
 WINDOW, PREFIX = 35, 12
-#: Suffixes whose short prefix starts so often at most share a group; others are dealt out by a prefix of all WINDOW words.
-GROUP_SIZE = 50_000
+#: Bytes of suffixes that one group may hold; the prefix of a larger group is lengthened, by a third of what is left of the window at a time.
+GROUP_BYTES = 64_000_000
+#: What a suffix costs beside its words.
+OVERHEAD = 100
 #: Codes beyond this share of all places are joined by broadcast.
 HOT_SHARE = 2_000
 #: Distinct words whose hashes a task remembers.
@@ -61,35 +63,36 @@ def anchors(words: list[bytes], hashes: _Hashes, window: int, prefix: int) -> tu
 
 
 def _find_anchors(window: int, prefix: int):
-    """Rows (id, codes, runs): a run is its first window, and in the lowest byte how many windows it has."""
+    """Rows (id, codes, runs, sizes): a run is its first window, and in the lowest byte how many windows it has; its size is in bytes of suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            ids, codes, runs = [], [], []
+            ids, codes, runs, sizes = [], [], [], []
             for own, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
                 words = text.encode().split()
                 if len(words) >= window:
                     code, first = anchors(words, hashes, window, prefix)
                     ids.append(own)
                     codes.append(code.view(np.int64))
-                    runs.append(first * 256 + np.diff(first, append=len(words) - window + 1))
+                    many = np.diff(first, append=len(words) - window + 1)
+                    runs.append(first * 256 + many)
+                    ends = np.cumsum([0, *map(len, words)])
+                    sizes.append(many * (ends[first + many + window - 1] - ends[first] + many + window + OVERHEAD))
             if ids:
                 offsets = pa.array(np.cumsum([0, *map(len, codes)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (codes, runs)]], ["id", "codes", "runs"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (codes, runs, sizes)]], ["id", "codes", "runs", "sizes"])
 
     return run
 
 
 def _stretches(text: str, runs: list[dict], window: int) -> Iterator[tuple[int, int, bytes]]:
-    """(code, first word, words) of each run of windows. Runs marked long are cut into single windows, coded by all their words."""
+    """(code, first word, words) of each run of windows."""
     words = text.encode().split()
     for r in runs:
         start, count = r["run"] >> 8, r["run"] & 255
-        for first, many in [(start + i, 1) for i in range(count)] if r["long"] else [(start, count)]:
-            if first + many + window - 1 <= len(words):
-                stretch = b" ".join(words[first : first + many + window - 1])
-                yield xxhash.xxh64_intdigest(stretch, 1) - 2**63 if r["long"] else r["code"], first, stretch
+        if start + count + window - 1 <= len(words):
+            yield r["code"], start, b" ".join(words[start : start + count + window - 1])
 
 
 def _count_stretches(window: int):
@@ -134,50 +137,85 @@ def _place_stretches(window: int):
     return run
 
 
+def _word_starts(stretch: bytes) -> list[int]:
+    """Where each word begins, and the end."""
+    return [0, *(np.flatnonzero(np.frombuffer(stretch, np.uint8) == 32) + 1).tolist(), len(stretch) + 1]
+
+
+def _words_in_common(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, size) != np.frombuffer(b, np.uint8, size))
+    return a.count(b" ", 0, int(differ[0]) if len(differ) else size)
+
+
+def maximal_repeats(stretches: list[bytes], window: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(words, its places as (stretch, word)) of each repeat of at least `window` words that no word before or behind extends at all its places.
+
+    The suffixes of all stretches, sorted, are the leaves of the group's suffix tree from left to right. Neighbours' common
+    words give the internal nodes, whose depth is the length of a repeat; a node whose leaves follow different words, or begin
+    a stretch, can't be extended to the left, as none can to the right.
+    """
+    texts, starts = [x + b" " for x in stretches], [_word_starts(x) for x in stretches]
+    suffixes = sorted((text[i:], at, k) for at, text in enumerate(texts) for k, i in enumerate(starts[at][:-window]))
+
+    def diverse(leaves) -> bool:
+        before = {None if k == 0 else texts[at][starts[at][k - 1] : starts[at][k]] for _, at, k in leaves}
+        return None in before or len(before) > 1
+
+    path: list[tuple[int, int]] = []  # (depth, first leaf) of the nodes that are open
+    for i in range(1, len(suffixes) + 1):
+        depth, left = 0, i - 1
+        if i < len(suffixes):
+            (a, at, k), b = suffixes[i - 1], suffixes[i][0]
+            j = starts[at][k + window] - starts[at][k]
+            if a[:j] == b[:j]:
+                depth = _words_in_common(a, b)
+        while path and path[-1][0] > depth:
+            deep, left = path.pop()
+            if diverse(suffixes[left:i]):
+                yield deep, [(at, k) for _, at, k in suffixes[left:i]]
+        if depth and (not path or path[-1][0] < depth):
+            path.append((depth, left))
+
+
 def repeated_ranges(stretches: list[tuple[bytes, int]], window: int) -> list[list[int]]:
     """For each stretch (words, how often), the ranges [from, to, from, to, ...] of its words that windows starting elsewhere too cover.
 
-    The suffixes of all stretches, sorted, are the leaves of the group's suffix tree from left to right; suffixes that share
-    `window` words with a neighbour hang below an internal node of that depth, which is a repeat.
+    A stretch that occurs more than once is a repeat as a whole; in the others, repeats are those of the group's suffix tree.
     """
-    suffixes = []
-    for at, (stretch, _) in enumerate(stretches):
-        ends = np.flatnonzero(np.frombuffer(stretch + b" ", np.uint8) == 32)
-        starts = np.append(0, ends[:-1] + 1)
-        suffixes += [(stretch[i:j], at, k) for k, (i, j) in enumerate(zip(starts.tolist(), ends[window - 1 :].tolist()))]
-    suffixes.sort()
-    covered: list[list[int]] = [[] for _ in stretches]
-    deep = [a[0] == b[0] for a, b in zip(suffixes, suffixes[1:])]
-    for leaf, (_, at, k) in enumerate(suffixes):
-        if stretches[at][1] > 1 or (leaf and deep[leaf - 1]) or (leaf < len(deep) and deep[leaf]):
-            covered[at].append(k)
+    covered = [[(0, x.count(b" ") + 1)] if n > 1 else [] for x, n in stretches]
+    if not all(covered):
+        for depth, places in maximal_repeats([x for x, _ in stretches], window):
+            for at, k in places:
+                if stretches[at][1] == 1:
+                    covered[at].append((k, k + depth))
     out = []
-    for starts in covered:
+    for found in covered:
         ranges: list[int] = []
-        for k in sorted(starts):
-            if ranges and k <= ranges[-1]:
-                ranges[-1] = k + window
+        for a, b in sorted(found):
+            if ranges and a <= ranges[-1]:
+                ranges[-1] = max(ranges[-1], b)
             else:
-                ranges += [k, k + window]
+                ranges += [a, b]
         out.append(ranges)
     return out
 
 
 def _grow_trees(window: int):
-    """Rows are sorted by code; one group is held at a time, and only the ranges leave it."""
+    """Rows (code, digest, ranges) of pieces sorted by grp. One group is held at a time, and only the ranges leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, held, digests = None, {}, {}
+        grp, held, owners = None, {}, {}
         out: tuple[list, list, list] = ([], [], [])
 
         def flush():
             if sum(held.values()) > 1:
-                for (stretch, _), ranges in zip(held.items(), repeated_ranges(list(held.items()), window)):
-                    if ranges:
-                        for column, value in zip(out, (code, digests[stretch], ranges)):
+                for (piece, _), ranges in zip(held.items(), repeated_ranges(list(held.items()), window)):
+                    for code, digest, at in owners[piece] if ranges else ():
+                        for column, value in zip(out, (code, digest, [at + x for x in ranges] if at else ranges)):
                             column.append(value)
             held.clear()
-            digests.clear()
+            owners.clear()
 
         def drained():
             batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int32()))], ["code", "digest", "ranges"])
@@ -186,12 +224,12 @@ def _grow_trees(window: int):
             return batch
 
         for batch in batches:
-            for own, stretch, n, digest in zip(*(batch.column(c).to_pylist() for c in ("code", "stretch", "n", "digest"))):
-                if own != code:
+            for own, code, digest, at, piece, n in zip(*(batch.column(c).to_pylist() for c in ("grp", "code", "digest", "at", "piece", "n"))):
+                if own != grp:
                     flush()
-                    code = own
-                held[stretch] = held.get(stretch, 0) + n
-                digests[stretch] = digest
+                    grp = own
+                held[piece] = held.get(piece, 0) + n
+                owners.setdefault(piece, set()).add((code, digest, at))
             if out[0]:
                 yield drained()
         flush()
@@ -201,6 +239,66 @@ def _grow_trees(window: int):
     return run
 
 
+def _lengthen(window: int, depth: int):
+    """Pieces cut into single windows, dealt out by their first `depth` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for code, digest, at, piece, n in zip(*(batch.column(c).to_pylist() for c in ("code", "digest", "at", "piece", "n"))):
+                starts = _word_starts(piece)
+                for k, i in enumerate(starts[:-window]):
+                    grp = xxhash.xxh64_intdigest(piece[i : starts[k + depth] - 1], depth) - 2**63
+                    rows.append((grp, code, digest, at + k, piece[i : starts[k + window] - 1], n))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["grp", "code", "digest", "at", "piece", "n"])
+
+    return run
+
+
+STRETCHES = "code long, stretch binary, digest binary, n long"
+PIECES = "grp long, code long, digest binary, at int, piece binary, n long"
+TREES = "code long, digest binary, ranges array<int>"
+
+
+def depths(window: int, prefix: int) -> list[int]:
+    """Lengths of the prefixes that suffixes are dealt out by, one after another, up to the whole window."""
+    found = [prefix]
+    while found[-1] < window:
+        found.append(found[-1] + -(-(window - found[-1]) // 3))
+    return found
+
+
+def _trees(pieces: DataFrame, window: int) -> DataFrame:
+    return pieces.repartition("grp").sortWithinPartitions("grp").mapInArrow(_grow_trees(window), TREES)
+
+
+def split_groups(pieces: DataFrame, window: int, prefix: int) -> DataFrame:
+    """Ranges (code, digest, ranges) of pieces of groups that may be large, whose prefixes are lengthened until each fits GROUP_BYTES.
+
+    Pieces are distinct, so copies add nothing. A group whose prefix is the whole window holds one window however often it occurs: it is counted.
+    """
+    out = []
+    size = (F.octet_length("piece") + OVERHEAD) * (F.size(F.split(F.col("piece").cast("string"), " ")) - window + 1)
+    for depth in depths(window, prefix)[1:]:
+        large = checkpointed(pieces.groupBy("grp").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > GROUP_BYTES).select("grp"))
+        if large.isEmpty():
+            return _union([*out, _trees(pieces, window)])
+        out.append(_trees(pieces.join(large, "grp", "left_anti"), window))
+        pieces = checkpointed(pieces.join(large, "grp", "left_semi").select("grp", "code", "digest", "at", "piece", "n").mapInArrow(_lengthen(window, depth), PIECES))
+    often = pieces.groupBy("grp", "piece").agg(F.sum("n").alias("often")).where("often > 1")
+    whole = pieces.join(often, ["grp", "piece"]).select("code", "digest", F.array("at", F.col("at") + window).alias("ranges"))
+    return _union([*out, whole])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def _cut_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, n_words, n_removed = [], [], []
@@ -228,24 +326,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
 
     1. Anchors: each run of windows has a prefix of `prefix` words in common. Only suffixes whose prefix starts more than
        once can be repeated; the others are left out here.
-    2. The suffixes that remain are dealt out by that prefix, or by all their words where the group would be large. Equal
+    2. The suffixes that remain are dealt out by that prefix, and by longer ones where the group would not fit GROUP_BYTES. Equal
        stretches of words are counted before they are dealt out, so that copies add nothing to a group.
-    3. Each group's suffix tree gives the repeats; they return to the places that their stretches came from.
+    3. Each group's suffix tree gives the maximal repeats; they return to the places that their stretches came from.
     """
     prefix = max(prefix, window - 254)
     docs = docs.drop("n_words", "n_removed", *INTERNAL)
     keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).drop("text").withColumn("_id", F.xxhash64("_text"))
-    found = checkpointed(keyed.select("_id", "_text").mapInArrow(_find_anchors(window, prefix), "id long, codes array<long>, runs array<long>"))
-    counts = found.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
+    found = checkpointed(keyed.select("_id", "_text").mapInArrow(_find_anchors(window, prefix), "id long, codes array<long>, runs array<long>, sizes array<long>"))
+    counts = found.select(F.explode(F.arrays_zip("codes", "sizes")).alias("r")).groupBy(F.col("r.codes").alias("code")).agg(F.count("*").alias("n"), F.sum("r.sizes").alias("size")).where("n > 1")
     # A code that starts in more than 1 of HOT_SHARE places is hot; there are fewer than HOT_SHARE of them, which bounds what is broadcast.
     hot_from = max(2, (found.agg(F.sum(F.size("codes"))).first()[0] or 0) // HOT_SHARE)
-    counts = counts.select("code", (F.col("n") > GROUP_SIZE).alias("long"), (F.col("n") > hot_from).alias("hot"))
+    counts = counts.select("code", (F.col("size") > GROUP_BYTES).alias("long"), (F.col("n") > hot_from).alias("hot"))
     hot = F.broadcast(checkpointed(counts.where("hot").select("code", "long")))
     each = found.select("id", F.explode(F.arrays_zip("codes", "runs")).alias("r")).select("id", F.col("r.codes").alias("code"), F.col("r.runs").alias("run"))
     cold = each.join(hot, "code", "left_anti").join(counts.where("not hot").select("code", "long"), "code")
     live = each.join(hot, "code").select(*cold.columns).unionByName(cold).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("code", "run", "long")).alias("runs"))
     texts = keyed.join(live, "_id")  # with all columns, so that the shuffle of keyed serves the last join too
-    trees = texts.mapInArrow(_count_stretches(window), "code long, stretch binary, digest binary, n long").repartition("code").sortWithinPartitions("code").mapInArrow(_grow_trees(window), "code long, digest binary, ranges array<int>")
+    counted = texts.withColumn("runs", F.expr("filter(runs, r -> not r.long)")).mapInArrow(_count_stretches(window), STRETCHES)
+    small = counted.repartition("code").select(F.col("code").alias("grp"), "code", "digest", F.lit(0).alias("at"), F.col("stretch").alias("piece"), "n")
+    trees = small.sortWithinPartitions("grp").mapInArrow(_grow_trees(window), TREES)
+    # Codes that may be too large for a group: with copies counted, so that only these need their distinct stretches first.
+    many = texts.withColumn("runs", F.expr("filter(runs, r -> r.long)")).where("size(runs) > 0").mapInArrow(_count_stretches(window), STRETCHES)
+    many = checkpointed(many.groupBy("code", "digest").agg(F.first("stretch").alias("piece"), F.sum("n").alias("n")))
+    if not many.isEmpty():
+        trees = trees.unionByName(split_groups(many.select(F.col("code").alias("grp"), "code", "digest", F.lit(0).alias("at"), "piece", "n"), window, prefix))
     places = texts.mapInArrow(_place_stretches(window), "_id long, key binary, code long, digest binary, start int")
     covers = places.join(trees, ["code", "digest"]).groupBy("_id").agg(F.collect_set(F.struct("key", "start", "ranges")).alias("_runs"))
     joined = keyed.join(covers, "_id", "left")
