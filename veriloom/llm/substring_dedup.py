@@ -338,18 +338,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     # A code that starts in more than 1 of HOT_SHARE places is hot; there are fewer than HOT_SHARE of them, which bounds what is broadcast.
     hot_from = max(2, (found.agg(F.sum(F.size("codes"))).first()[0] or 0) // HOT_SHARE)
     counts = counts.select("code", (F.col("size") > GROUP_BYTES).alias("long"), (F.col("n") > hot_from).alias("hot"))
-    hot = F.broadcast(checkpointed(counts.where("hot").select("code", "long")))
+    flagged = checkpointed(counts.where("hot or long"))
+    hot = F.broadcast(flagged.where("hot").select("code", "long"))
     each = found.select("id", F.explode(F.arrays_zip("codes", "runs")).alias("r")).select("id", F.col("r.codes").alias("code"), F.col("r.runs").alias("run"))
     cold = each.join(hot, "code", "left_anti").join(counts.where("not hot").select("code", "long"), "code")
     live = each.join(hot, "code").select(*cold.columns).unionByName(cold).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("code", "run", "long")).alias("runs"))
     texts = keyed.join(live, "_id")  # with all columns, so that the shuffle of keyed serves the last join too
-    counted = texts.withColumn("runs", F.expr("filter(runs, r -> not r.long)")).mapInArrow(_count_stretches(window), STRETCHES)
+    split = not flagged.where("long").isEmpty()
+    counted = (texts.withColumn("runs", F.expr("filter(runs, r -> not r.long)")) if split else texts).mapInArrow(_count_stretches(window), STRETCHES)
     small = counted.repartition("code").select(F.col("code").alias("grp"), "code", "digest", F.lit(0).alias("at"), F.col("stretch").alias("piece"), "n")
     trees = small.sortWithinPartitions("grp").mapInArrow(_grow_trees(window), TREES)
-    # Codes that may be too large for a group: with copies counted, so that only these need their distinct stretches first.
-    many = texts.withColumn("runs", F.expr("filter(runs, r -> r.long)")).where("size(runs) > 0").mapInArrow(_count_stretches(window), STRETCHES)
-    many = checkpointed(many.groupBy("code", "digest").agg(F.first("stretch").alias("piece"), F.sum("n").alias("n")))
-    if not many.isEmpty():
+    if split:  # codes that may be too large for a group, with copies counted; so that only these need their distinct stretches first
+        many = texts.select("_text", F.expr("filter(runs, r -> r.long)").alias("runs")).where("size(runs) > 0").mapInArrow(_count_stretches(window), STRETCHES)
+        many = checkpointed(many.groupBy("code", "digest").agg(F.first("stretch").alias("piece"), F.sum("n").alias("n")))
         trees = trees.unionByName(split_groups(many.select(F.col("code").alias("grp"), "code", "digest", F.lit(0).alias("at"), "piece", "n"), window, prefix))
     places = texts.mapInArrow(_place_stretches(window), "_id long, key binary, code long, digest binary, start int")
     covers = places.join(trees, ["code", "digest"]).groupBy("_id").agg(F.collect_set(F.struct("key", "start", "ranges")).alias("_runs"))
