@@ -129,3 +129,11 @@ ORIGIN_PREFIXES = ("product of", "produce of", "produced in", "made in", "import
 NOT_COUNTRIES = ("bond",)
 #: Worst first when several statuses meet; the order of triage.
 STATUS_RANK = {"REVIEW": 0, "FAIL": 1, "ERROR": 2, "PASS": 3, "PENDING": 4}
+
+#: Origins that are not imports.
+US_PLACES = (
+    "ALABAMA", "ALASKA", "ARIZONA", "ARKANSAS", "CALIFORNIA", "COLORADO", "CONNECTICUT", "DELAWARE", "FLORIDA", "GEORGIA", "HAWAII", "IDAHO", "ILLINOIS", "INDIANA", "IOWA", "KANSAS", "KENTUCKY",
+    "LOUISIANA", "MAINE", "MARYLAND", "MASSACHUSETTS", "MICHIGAN", "MINNESOTA", "MISSISSIPPI", "MISSOURI", "MONTANA", "NEBRASKA", "NEVADA", "NEW HAMPSHIRE", "NEW JERSEY", "NEW MEXICO", "NEW YORK",
+    "NORTH CAROLINA", "NORTH DAKOTA", "OHIO", "OKLAHOMA", "OREGON", "PENNSYLVANIA", "RHODE ISLAND", "SOUTH CAROLINA", "SOUTH DAKOTA", "TENNESSEE", "TEXAS", "UTAH", "VERMONT", "VIRGINIA",
+    "WASHINGTON", "WEST VIRGINIA", "WISCONSIN", "WYOMING", "DISTRICT OF COLUMBIA", "PUERTO RICO", "U.S. VIRGIN ISLANDS", "VIRGIN ISLANDS", "GUAM", "AMERICAN", "UNITED STATES",
+)

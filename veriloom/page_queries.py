@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .config import FIELD_KEYS, MANDATED
-from .operators import lines, passage, rereads, review, statement, words as traced
+from .operators import evidence, lines, passage, rereads, review, statement, words as traced
 from .plans import generate, pages as plans, verify
 from .plans.projections import APPS_SQL, applications, label_lines, table
+from .sources import readers
 from .queries import BOXES_SQL, LCS_SQL, _boxes, query
 
 WORDS = MANDATED.split()
@@ -347,3 +348,82 @@ def decision_records(spark, sf):
     error = F.when(F.col("error").startswith("decision"), "decision").when(F.col("error").startswith("this label"), "question").when(F.col("error").isNull(), "").otherwise("label")
     lines_ = review.decision_records(requests, labels).select("seq", F.get_json_object("line", "$.label_decision").alias("label_decision"), F.get_json_object("line", "$.asked").alias("asked"))
     return checked.select("seq", error.alias("error")).join(lines_, "seq", "left").select("seq", "error", "label_decision", "asked")
+
+
+# Smaller parts of pages, readings and the registry
+
+
+@query("""
+    SELECT l_suppkey AS label_id, l_returnflag AS frame, l_linenumber AS line_no, median(CAST(l_partkey % 40 AS INT) * 5) AS top, median(CAST(l_partkey % 40 AS INT) * 5 + 20 + CAST(l_orderkey % 7 AS INT)) AS bottom,
+        min(CAST(l_quantity AS INT) * 10) AS "left", max(CAST(l_quantity AS INT) * 10 + CAST(l_orderkey % 9 AS INT)) AS "right", median(20 + CAST(l_orderkey % 7 AS INT)) AS height FROM lineitem GROUP BY ALL""")
+def line_geometry(spark, sf):
+    """(AG26)"""
+    words = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("label_id"), F.col("l_returnflag").alias("frame"), F.col("l_linenumber").alias("line_no"), ((F.col("l_partkey") % 40).cast("int") * 5).alias("top"),
+        (F.col("l_quantity").cast("int") * 10).alias("left"), (F.col("l_orderkey") % 9).cast("int").alias("width"), (20 + (F.col("l_orderkey") % 7).cast("int")).alias("height"))
+    return plans.geometry.line_geometry(words, "label_id", "frame", "line_no")
+
+
+@query("""
+    SELECT p_size % 2 = 0 AS bold, p_brand AS family, CAST(p_size % 3 AS INT) AS blur, count(*) AS n, round(min(r), 9) AS least, round(median(r), 9) AS middle, round(max(r), 9) AS largest
+    FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 0.0 ELSE CAST(p_size * 3 AS DOUBLE) / (p_partkey % 7 + 5) END AS r FROM part) GROUP BY ALL""")
+def weight_ranges(spark, sf):
+    """(AG12)"""
+    ratio = F.when(F.col("p_partkey") % 11 != 0, F.col("p_size") * F.lit(3.0) / (F.col("p_partkey") % 7 + 5))
+    rows = table(spark, sf, "part").select((F.col("p_size") % 2 == 0).alias("bold"), F.col("p_brand").alias("family"), (F.col("p_size") % 3).cast("int").alias("blur"), ratio.alias("ratio"))
+    return plans.geometry.weight_ranges(rows, "bold", "family", "blur").withColumns({c: F.round(c, 9) for c in ("least", "middle", "largest")})
+
+
+@query("SELECT l_orderkey AS label_id, CAST(l_linenumber - 1 AS INT) AS view, l_linenumber IN (1, 5, 6, 7) OR (l_orderkey + l_linenumber - 1) % 4 = 0 AS is_upright FROM lineitem")
+def read_upright(spark, sf):
+    """Views 1 to 3 are turned by quarters, page by page; views from 4 on are unknown. (FLT13)"""
+    words = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("label_id"), (F.col("l_linenumber") - 1).cast("int").alias("view"))
+    views = table(spark, sf, "orders").select(F.col("o_orderkey").alias("label_id"), F.explode(F.array(*map(F.lit, range(4)))).alias("view"))
+    views = views.withColumn("rotation", F.when(F.col("view") == 0, 90).otherwise(90 * ((F.col("label_id") + F.col("view")) % 4)))
+    return traced.read_upright(words, views).select("label_id", "view", "is_upright")
+
+
+@query(f"""
+    WITH {TOKENS_SQL}, c AS (SELECT doc_id, line FROM tokens GROUP BY ALL HAVING sum(least(100, 20 * length(x))) >= 80 * count(*)),
+    d AS (SELECT l.doc_id, l.line, l.t FROM l WHERE trim(t, ' ') <> ''), m AS (SELECT doc_id, max(line) AS m FROM d GROUP BY doc_id)
+    SELECT doc_id AS label_id, CAST(line AS INT) AS line_no, 0 AS view, length(t) AS size FROM d
+    UNION ALL SELECT doc_id, CAST(m + row_number() OVER (PARTITION BY doc_id ORDER BY line) AS INT), 1, length(t) FROM d JOIN c USING (doc_id, line) JOIN m USING (doc_id)""")
+def append_view(spark, sf):
+    """Each document read twice, the second time surest of long words. (FLT7)"""
+    rows, words = _read_lines(spark, sf)
+    words = words.withColumn("conf", F.least(F.lit(100), 20 * F.length("text")))
+    found = lines.append_view(rows.withColumn("view", F.lit(0)), rows, words, 1, 80)
+    return found.select("label_id", "line_no", "view", F.length("text").cast("long").alias("size"))
+
+
+@query("""
+    SELECT l_orderkey AS label_id, array_to_string(list(CAST(l_linenumber AS VARCHAR) ORDER BY coalesce(c = false, false), l_linenumber), ',') AS fields
+    FROM (SELECT *, CASE l_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS c FROM lineitem) GROUP BY ALL""")
+def clear_problems_first(spark, sf):
+    """(SO5)"""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 3 == 0, True).when(F.col("l_suppkey") % 3 == 1, False).alias("clear"))
+    problems = rows.groupBy(F.col("l_orderkey").alias("label_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "clear"))).alias("p"))
+    return problems.select("label_id", F.array_join(F.transform(evidence.clear_first(F.col("p")), lambda p: p["l_linenumber"].cast("string")), ",").alias("fields"))
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, string_split_regex(text, '[ \t\n\r]+') AS w FROM documents), e AS (SELECT doc_id, w, len(w) AS n, CAST(doc_id % len(w) AS INT) AS a, CAST(1 + doc_id % 3 AS INT) AS k FROM d)
+    SELECT doc_id, CASE WHEN a + k < n THEN array_to_string(w[a + 1 : a + k + 1], ' ') ELSE array_to_string(w[greatest(a - 1, 0) + 1 : a + k], ' ') END AS phrase FROM e""")
+def phrases_at(spark, sf):
+    """(SF29)"""
+    docs = table(spark, sf, "documents").select("doc_id", F.split("text", r"[ \t\n\r]+").alias("w"))
+    return docs.select("doc_id", passage.phrase_at(F.col("w"), (F.col("doc_id") % F.size("w")).cast("int"), (1 + F.col("doc_id") % 3).cast("int")).alias("phrase"))
+
+
+@query("""
+    WITH r AS (SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'no' ELSE CAST(c_custkey AS VARCHAR) END AS id, CASE c_custkey % 7 WHEN 0 THEN ' ' ELSE c_name END AS brand,
+        CASE c_custkey % 4 WHEN 0 THEN 'spirits' WHEN 1 THEN 'wine' WHEN 2 THEN 'beer' ELSE 'other' END AS kind, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'new york' ELSE n_name END AS origin FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)
+    SELECT id, brand, kind, coalesce(origin, '') AS origin, coalesce(origin, '') <> '' AND upper(origin) NOT IN ('NEW YORK', 'UNITED STATES') AS imported FROM r WHERE id <> 'no' AND trim(brand) <> '' AND kind <> 'other'""")
+def registry_rows(spark, sf):
+    """(FLT11, SF23)"""
+    key = F.col("c_custkey")
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+        F.when(key % 9 == 0, "12-3").otherwise(F.concat(F.lit(" '"), key.cast("string"), F.lit("' "))).alias("id"), F.when(key % 7 == 0, " ").otherwise(F.col("c_name")).alias("brand"),
+        F.when(key % 4 == 0, "Straight Whiskey").when(key % 4 == 1, "RED WINE").when(key % 4 == 2, "pale ale").otherwise("ginger water").alias("description"),
+        F.when(key % 5 == 0, " ").when(key % 5 == 1, "new york").otherwise(F.col("n_name")).alias("origin"))
+    return readers.registry_rows(rows).select("id", "brand", "kind", "origin", "imported")

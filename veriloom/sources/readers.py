@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import US_PLACES
 from ..operators.batch import base_name, is_image
 
 ALIASES = {
@@ -169,3 +170,15 @@ def kind_of(description: Column) -> Column:
     for kind, pattern in reversed(KINDS):
         out = F.when(description.rlike(pattern), kind).otherwise(out)
     return out
+
+
+def registry_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a registry export (id, brand, description, origin) that can be used, with id and texts trimmed, kind and imported.
+
+    An id is digits, with or without single quotes around it; the kind is known and the brand not blank. Null counts as
+    blank. A row with a blank origin isn't imported. (FLT11, SF23)
+    """
+    clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    tidy = rows.withColumns({c: clean(c) for c in ("id", "brand", "description", "origin")}).withColumn("id", F.regexp_replace("id", "^'+|'+$", ""))
+    tidy = tidy.withColumns({"kind": kind_of(F.col("description")), "imported": (F.col("origin") != "") & ~F.upper("origin").isin(*US_PLACES)})
+    return tidy.where(F.col("id").rlike("^[0-9]+$") & (F.col("kind") != "other") & (F.col("brand") != ""))
