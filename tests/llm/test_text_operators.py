@@ -317,3 +317,18 @@ def test_contaminated_against_aligning_everything(spark):
     assert sorted(map(str, kept)) == sorted(str(d[0]) for d in docs if not any(k[0] == d[0] for k in wanted))
     assert decontamination.contaminated(table, tests.limit(0)).count() == 0 and decontamination.contaminated(table.limit(0), tests).count() == 0
     assert decontamination.drop_contaminated(table, tests.limit(0)).count() == len(docs)
+
+
+def test_quality_learns_the_same_from_repeats_and_double_labels(spark, monkeypatch):
+    """An id with two labels is good, and of texts that share an id the least one is learnt, null as empty; so the order of rows is nothing."""
+    from veriloom.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda good, bad, rate: seen.append((good, bad, rate)))
+    docs = [(1, "good b"), (1, "good a"), (1, "good b"), (2, "bad"), (3, "both"), (4, None), (4, "x"), (None, "none"), (5, "no label")]
+    labels = [(1, 1), (2, 0), (2, 0), (3, 0), (3, 1), (4, 0), (None, 1), (5, None)]
+    for turn in (1, -1):
+        quality.fit(spark.createDataFrame(docs[::turn], "doc_id long, text string"), spark.createDataFrame(labels[::turn], "doc_id long, quality int"))
+    assert seen[0] == (["good a", "both"], ["bad", ""], 0.5) and seen[1] == seen[0]
+    quality.fit(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int"))
+    assert seen[2][:2] == ([], [])

@@ -142,14 +142,19 @@ def train(good: list[str], bad: list[str], good_rate: float, seed: int = 7) -> N
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """labels: rows (doc_id, quality) to learn from. At most SAMPLE documents of each class are read to the driver."""
-    labels = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+    """labels: rows (doc_id, quality) to learn from. At most SAMPLE documents of each class are read to the driver.
+
+    Rows with a null id or label are left out; an id with two labels is good; of documents that repeat an id the least text
+    counts, null as empty. Empty tables, or labels without documents, give a network that scores all texts alike.
+    """
+    labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     good, bad = labels.where("quality = 1"), labels.where("quality = 0")
     rate = good.count() / max(1, labels.count())
     ids = sampled(good, SAMPLE).union(sampled(bad, SAMPLE))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([r["text"] or "" for r in rows if r["quality"]], [r["text"] or "" for r in rows if not r["quality"]], min(0.95, max(0.05, rate)))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return train([r["text"] for r in rows if r["quality"]], [r["text"] for r in rows if not r["quality"]], min(0.95, max(0.05, rate)))
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
