@@ -1,6 +1,7 @@
 import pyarrow as pa
 
 from veriloom.functions import figures
+from veriloom.operators import geometry
 
 
 def test_a_text_that_repeats_is_read_once():
@@ -14,3 +15,9 @@ def test_a_text_that_repeats_is_read_once():
     found = figures._each(parse, figures._VOLUME)(pa.array(texts, pa.string())).to_pylist()
     assert found == [figures.parse_volume(t) for t in texts]
     assert sorted(asked, key=str) == ["1 L", "750 mL", None]
+
+
+def test_sums_before_each_size():
+    sizes = pa.array([[9, 9], [1, 2, 3], None, [], [5]], pa.list_(pa.int32()))
+    assert geometry._sums_before(sizes).to_pylist() == [[0, 9], [0, 1, 3], [], [], [0]]
+    assert geometry._sums_before(sizes.slice(1)).to_pylist() == [[0, 1, 3], [], [], [0]]
