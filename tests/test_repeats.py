@@ -1,5 +1,6 @@
 import pyarrow as pa
 
+import __spark_entry__
 from veriloom.functions import figures
 from veriloom.operators import geometry
 
@@ -21,3 +22,8 @@ def test_sums_before_each_size():
     sizes = pa.array([[9, 9], [1, 2, 3], None, [], [5]], pa.list_(pa.int32()))
     assert geometry._sums_before(sizes).to_pylist() == [[0, 9], [0, 1, 3], [], [], [0]]
     assert geometry._sums_before(sizes.slice(1)).to_pylist() == [[0, 1, 3], [], [], [0]]
+
+
+def test_lines_of_documents_are_made_once(spark):
+    found = __spark_entry__.queries()["evidence_words"](spark, "/root/testdata/sf0.001")
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()

@@ -9,7 +9,7 @@ from .operators import evidence, lines, passage, rereads, review, statement, wor
 from .plans import generate, pages as plans, verify
 from .plans.projections import APPS_SQL, applications, label_lines, table
 from .sources import readers
-from .sources.shared import dealt, shuffled
+from .sources.shared import checkpointed, dealt, shuffled
 from .queries import BOXES_SQL, LCS_SQL, _boxes, query
 
 WORDS = MANDATED.split()
@@ -205,9 +205,10 @@ TOKENS_SQL = r"""
 
 
 def _read_lines(spark, sf):
-    """Documents as lines of letters and blanks, and their words."""
+    """Documents as lines of letters and blanks, and their words. The lines are read many times, so they are made and written once."""
     text = F.regexp_replace("text", r"[^A-Za-z\n]+", " ")
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("label_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "text")).where("trim(text) <> ''")
+    rows = checkpointed(rows)
     return rows, lines.line_words(rows)
 
 
