@@ -67,9 +67,9 @@ def text_score(a, b) -> Column:
     return F.greatest(ratio(a, b), token_sort_ratio(a, b) - 2)
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """No ratio can exceed this, whatever the characters: a filter that comes before ratio()."""
-    return 200.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
+def length_bound(a: Column, b: Column) -> Column:
+    """No ratio of texts of these lengths can exceed this, whatever the characters: a filter that comes before ratio()."""
+    return 200.0 * F.least(a, b) / F.greatest(a + b, F.lit(1))
 
 
 def one_digit_apart(a: Column, b: Column) -> Column:

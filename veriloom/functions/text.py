@@ -19,6 +19,10 @@ ABV_PHRASES = (
 )
 
 
+#: Texts of ASCII letters, digits and % with single blanks between, and no phrase for alcohol by volume: they are their own normal form but for case.
+PLAIN_TEXT = r"\A(?! )(?!.*  )(?!.*(?i:alc|abv|vol))[A-Za-z0-9% ]++(?<! )\z"
+
+
 @functools.cache
 def compatibility_table(drop_accents: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """(characters, their single replacements, characters with longer replacements), from the Unicode tables of the basic plane.
@@ -75,6 +79,10 @@ def collapse_blanks(text: Column) -> Column:
 def normalize_strict(text) -> Column:
     """Case and punctuation kept; marks of registration dropped before they turn into letters. (SF4)"""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.when(text.rlike(PLAIN_TEXT), text).otherwise(_strict(text))
+
+
+def _strict(text: Column) -> Column:
     return collapse_blanks(unify_unicode(F.regexp_replace(text, r"(?U)\s*[®™©℠]", "")))
 
 
@@ -85,6 +93,11 @@ def unify_abv(text: Column) -> Column:
 
 def normalize_loose(text) -> Column:
     """Lower case, phrases for alcohol by volume as one, no accents, punctuation only inside numbers. (SF6)"""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike(PLAIN_TEXT), F.lower(text)).otherwise(_loose(text))
+
+
+def _loose(text: Column) -> Column:
     folded = unify_abv(F.lower(fold_accents(text)))
     bare = F.regexp_replace(F.replace(folded, F.lit("_"), F.lit(" ")), r"(?U)(?<!\d)[^\w\s%](?!\d)|(?<=\d)[^\w\s%.,](?!\d)|(?<!\d)[^\w\s%](?=\d)", " ")
     return collapse_blanks(bare)
