@@ -12,11 +12,11 @@ from veriloom.functions.text import _loose, _strict, normalize_loose, normalize_
 from veriloom.operators import matching
 
 
-def test_a_value_that_stands_on_the_label_is_compared_with_equal_spans_only(spark):
+def test_a_value_that_stands_on_the_label_is_compared_with_spans_of_its_length_only(spark):
     lines = spark.createDataFrame([(1, 0, "large ring"), (1, 1, "of the old mill"), (1, 2, "LARGE RING")], "label_id long, line_no int, text string")
     values = spark.createDataFrame([(1, "a", "Large Ring"), (1, "b", "large rink")], "label_id long, key string, expected string")
     rows = matching.spans(values, lines, floor=60).collect()
-    assert sorted((r["line_no"], r["candidate"]) for r in rows if r["key"] == "a") == [(0, "large ring"), (2, "large ring")]
+    assert sorted((r["line_no"], r["candidate"]) for r in rows if r["key"] == "a") == [(0, "large ring"), (1, "mill large"), (1, "of the old"), (2, "large ring")]
     assert len([r for r in rows if r["key"] == "b"]) > 2  # nothing equal, so all spans of fitting lengths
 
 

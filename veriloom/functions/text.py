@@ -20,7 +20,7 @@ ABV_PHRASES = (
 
 
 #: Texts of ASCII letters, digits and % with single blanks between, and no phrase for alcohol by volume: they are their own normal form but for case.
-PLAIN_TEXT = r"\A(?! )(?!.*  )(?!.*(?i:alc|abv|vol))[A-Za-z0-9% ]++(?<! )\z"
+PLAIN_TEXT = r"\A(?=[A-Za-z0-9%][A-Za-z0-9% ]*+\z)(?!.*(?:  | \z))(?!.*(?i:alc|abv|vol))"
 
 
 @functools.cache
@@ -93,7 +93,7 @@ def unify_abv(text: Column) -> Column:
 
 def normalize_loose(text) -> Column:
     """Lower case, phrases for alcohol by volume as one, no accents, punctuation only inside numbers. (SF6)"""
-    text = F.col(text) if isinstance(text, str) else text
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return F.when(text.rlike(PLAIN_TEXT), F.lower(text)).otherwise(_loose(text))
 
 

@@ -78,7 +78,7 @@ def spans(values: DataFrame, lines: DataFrame, th: Thresholds = THRESHOLDS, floo
     own = words(normalize_strict("expected"))
     wanted = values.select("label_id", "key", "expected", normalize_loose("expected").alias("want"), strip_edges(normalize_strict("expected")).alias("exact"), F.greatest(F.size(own), F.lit(1)).alias("n"), F.transform(own, normalize_loose).alias("own"))
     plain = F.array_join(F.filter("own", lambda x: x != ""), " ") == F.col("want")
-    wanted = wanted.where("want <> ''").withColumn("tokens", F.when(plain, F.concat(F.lit("\n"), F.array_join("own", "\n"), F.lit("\n")))).drop("own")
+    wanted = wanted.withColumn("tokens", F.when(plain, F.concat(F.lit("\n"), F.array_join("own", "\n"), F.lit("\n")))).drop("own")
     rows = wanted.join(shuffled(tokens), "label_id")
     there = F.coalesce(F.contains("joint", "tokens"), F.lit(False))
     rows = rows.withColumn("there", F.max(there).over(Window.partitionBy("label_id", "key", "expected"))).drop("joint", "tokens")
@@ -86,14 +86,13 @@ def spans(values: DataFrame, lines: DataFrame, th: Thresholds = THRESHOLDS, floo
     rows = rows.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - th.span_slack), F.col("n") + th.span_slack)).alias("len"))
     rows = rows.where(F.col("a") + F.col("len") <= F.col(f"end{upto[-1]}")).withColumn("chars", F.get("upto", F.col("a") + F.col("len")) - F.get("upto", "a") - 1).where("chars > 0")
     bound, both = similarity.length_bound(F.length("want"), F.col("chars")), F.length("want") + F.col("chars")
-    rows = rows.where((bound >= floor - 0.5) & (~F.col("there") | (F.length("want") == F.col("chars")) | ((both >= UNEQUAL_HUNDRED) & (bound >= 99.5))))
+    rows = rows.where((F.length("want") > 0) & (bound >= floor - 0.5) & (~F.col("there") | (F.length("want") == F.col("chars")) | ((both >= UNEQUAL_HUNDRED) & (bound >= 99.5))))
     last_line = lambda x: first_true([(F.col("a") + F.col("len") <= F.col(f"end{k}"), x(k)) for k in upto])
     inside, shown = F.slice("loose", F.col("a") + 1, F.col("len")), F.slice("raw", F.col("a") + 1, F.col("len"))
     rows = rows.select(
-        "label_id", "key", "expected", "want", "exact", "line_no", (F.col("line_no") + last_line(F.lit)).alias("line_end"), "a", "len", "there", F.array_join(F.filter(inside, lambda x: x != ""), " ").alias("candidate"), shown.alias("shown"),
+        "label_id", "key", "expected", "want", "exact", "line_no", (F.col("line_no") + last_line(F.lit)).alias("line_end"), "a", "len", F.array_join(F.filter(inside, lambda x: x != ""), " ").alias("candidate"), shown.alias("shown"),
         F.when(F.col("a") > 0, F.get("raw", F.col("a") - 1)).alias("back"), F.when(F.col("a") + F.col("len") < last_line(lambda k: F.col(f"end{k}")), F.get("raw", F.col("a") + F.col("len"))).alias("ahead"),
     )
-    rows = rows.where(~F.col("there") | (F.col("want") == F.col("candidate")) | (F.length("want") + F.length("candidate") >= UNEQUAL_HUNDRED))
     last = lambda x: F.right(x, F.lit(1)).isin(*SEPARATORS)
     first = lambda x: F.left(x, F.lit(1)).isin(*SEPARATORS)
     back, ahead = F.col("back"), F.coalesce("ahead", F.lit(""))
@@ -116,10 +115,11 @@ def locate(values: DataFrame, lines: DataFrame, preferred: DataFrame | None = No
         chosen = F.coalesce((F.col("line_no") == F.col("_line")) & (F.col("line_end") == F.col("_line")), F.lit(False))
     else:
         chosen = F.lit(False)
-    rows = rows.withColumn("score", similarity.ratio("want", "candidate")).where(F.col("score") >= floor)
+    rows = rows.withColumn("score", similarity.ratio("want", "candidate"))
     rank = F.struct("score", chosen.alias("p"), (F.col("text") == F.col("exact")).alias("e"), (-F.col("line_no")).alias("i"), (-F.col("line_end")).alias("j"), (-F.col("a")).alias("a"), (-F.col("len")).alias("n"))
     best = rows.groupBy("label_id", "key", "expected").agg(F.max_by(F.struct("text", "score", F.col("line_no").alias("line_start"), "line_end", "joined"), rank).alias("b"))
-    return best.select("label_id", "key", "expected", "b.*")
+    # The best one decides: a filter of all scores would have Spark compute them twice.
+    return best.where(F.col("b.score") >= floor).select("label_id", "key", "expected", "b.*")
 
 
 def locate_letter_spaced(values: DataFrame, lines: DataFrame, th: Thresholds = THRESHOLDS) -> DataFrame:
