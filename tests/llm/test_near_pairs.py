@@ -51,3 +51,21 @@ def test_near_dedup_does_not_depend_on_what_simhash_proposes(spark, monkeypatch)
     monkeypatch.setattr(simhash, "COMPARED", 3)
     for radius in (0, 400):
         assert {r["doc_id"] for r in simhash.near_dedup(frame(spark, rows), radius=radius).collect()} == brute_near(rows)
+
+
+def test_a_passage_that_many_documents_quote_makes_no_pairs_of_them(spark, monkeypatch):
+    """Once a table is large, a sample of it knows too few of the shingles that many documents hold."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, twin = " ".join(fresh(40)), fresh(60)
+    rows = [(k, f"{' '.join(fresh(60))} {passage}") for k in range(120)] + [(500, " ".join(twin)), (501, " ".join([*twin, "more"]))]
+    asked, found = [], simhash.verified
+
+    def verified(pairs, *rest):
+        asked.append(pairs.count())
+        return found(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "common_shingles", lambda docs, shingle: simhash.np.zeros(0, simhash.np.uint64))
+    monkeypatch.setattr(simhash, "verified", verified)
+    assert {r["doc_id"] for r in simhash.near_dedup(frame(spark, rows), radius=0).collect()} == brute_near(rows)
+    assert sum(asked) <= 1

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpointed, components, joinable
 
@@ -25,6 +26,8 @@ WIDE, FLIPPED, WIDE_RADIUS, RECALL = 512, 0.15, 88, 0.98
 SAMPLED, COMMON, MOST_COMMON = 6_000, 3, 20_000
 #: Words whose hashes, and sets of shingles that it has met, a task remembers.
 REMEMBERED = 500_000
+#: Shingles that a batch of the exact count holds.
+BATCH_SHINGLES = 100_000
 #: Rows of a shingle up to which its documents are compared before they count as candidates; above, all are candidates.
 COMPARED = 2048
 
@@ -435,6 +438,46 @@ def _sets(shingle: int):
     return run
 
 
+def _each_set(shingle: int):
+    """Rows (h, _fp, n) of rows (_fp, text): each shingle of a set, with the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, fps, sets, held = _Hashes(), [], [], 0
+
+        def drained():
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            columns = np.concatenate(sets).view(np.int64), np.repeat(np.array(fps, np.int64), sizes), np.repeat(sizes.astype(np.int32), sizes)
+            fps.clear()
+            sets.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "_fp", "n"])
+
+        for batch in batches:
+            for fp, text in zip(batch.column("_fp").to_pylist(), batch.column("text").to_pylist()):
+                fps.append(fp)
+                sets.append(shingle_hashes(text, shingle, hashes))
+                held += len(sets[-1])
+                if held >= BATCH_SHINGLES:
+                    yield drained()
+                    held = 0
+        if sets:
+            yield drained()
+
+    return run
+
+
+def rarest_first(texts: DataFrame, shingle: int) -> DataFrame:
+    """Rows (h, _fp, n, at): the first shingles of the sets of texts (_fp, text) in the order of how many of these sets hold them, the rarest first.
+
+    Shingles that no other set holds come first and meet nothing, so they have no row; a set that has n - ceil(4n/5) + 1 of them has none at all. A passage
+    that ever more documents quote then brings together only sets that have little else of their own.
+    """
+    every = texts.mapInArrow(_each_set(shingle), "h long, _fp long, n int")
+    met = every.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    own = Window.partitionBy("_fp")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")) - 1
+    return met.withColumn("at", at.cast("int")).where("at <= n - ceil(4 * n / 5)").select("h", "_fp", "n", "at")
+
+
 def _pairs_kept(kept):
     """Of rows (a, b, x, y) the pairs (a, b) for which kept(x, y)."""
 
@@ -479,12 +522,16 @@ def verified_links(docs: DataFrame, marked: DataFrame, shingle: int, radius: int
     """Links (a, b) between sets of shingles (_fp) that connect all that are 4/5 alike, and only such links.
 
     First the documents go that share none of their first shingles with another one of fitting size: nothing is alike to them.
-    Among the others SimHash proposes links, which are verified on the sets. Then all pairs that still are in two components, share
+    The shingles of the others are counted, and of their first ones by these counts (rarest_first) the same is asked again. Among the others SimHash proposes links, which are verified on the sets. Then all pairs that still are in two components, share
     one of their first shingles and may be alike are verified too; so what SimHash misses is found.
     """
     places = marked.select("_fp", "n", F.posexplode("first").alias("at", "h")).select("h", "_fp", "n", "at")
-    shared = checkpointed(places.repartition("h").sortWithinPartitions("h", "_fp").mapInArrow(_candidates, "h long, _fp long, n int, at int"))
     texts = _Texts(docs, marked.select("doc_id", "_text", "_fp"))
+
+    def candidates(places: DataFrame) -> DataFrame:
+        return checkpointed(places.repartition("h").sortWithinPartitions("h", "_fp").mapInArrow(_candidates, "h long, _fp long, n int, at int"))
+
+    shared = candidates(rarest_first(texts.of(candidates(places).select("_fp").distinct()), shingle))
     marks = checkpointed(texts.of(shared.select("_fp").distinct()).mapInArrow(_marks(shingle), "_fp long, wide binary, sig binary"))
     reps = checkpointed(marks.groupBy("wide").agg(F.min("_fp").alias("one")))
     near = linked(reps.select(F.col("wide").alias("fp")), radius)
