@@ -23,6 +23,12 @@ ABV_PHRASES = (
 PLAIN_TEXT = r"\A(?=[A-Za-z0-9%][A-Za-z0-9% ]*+\z)(?!.*(?:  | \z))(?!.*(?i:alc|abv|vol))"
 
 
+#: What becomes a blank in lower-case ASCII and other letters; a mark behind a digit stays, if a digit follows too or it is a point or a comma.
+MARKS = "".join(c for c in map(chr, range(128)) if not (c in "% " or c.isdigit() or c.islower() or c.isupper()))
+MARK = r"[\x00-\x7F&&[^\w\s%]]"
+GAPS = rf"[\t-\r_]|{MARK}(?:(?<!\d.)|(?<![.,])(?!\d))"
+
+
 @functools.cache
 def compatibility_table(drop_accents: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """(characters, their single replacements, characters with longer replacements), from the Unicode tables of the basic plane.
@@ -57,8 +63,8 @@ def _unified(text, drop_accents: bool) -> Column:
     out = text
     for c, replacement in longer:
         out = F.replace(out, F.lit(c), F.lit(replacement))
-    out = F.when(text.rlike("[" + "".join(c for c, _ in longer) + "]"), out).otherwise(text)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(out, given, to)).otherwise(text)
+    out = F.when(F.translate(text, "".join(c for c, _ in longer), "") != text, out).otherwise(text)
+    return F.when(_is_ascii(text), text).otherwise(F.translate(out, given, to))
 
 
 def unify_unicode(text) -> Column:
@@ -97,12 +103,35 @@ def normalize_loose(text) -> Column:
     return F.when(text.rlike(PLAIN_TEXT), F.lower(text)).otherwise(_loose(text))
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), with value found once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _loose(text: Column) -> Column:
-    folded = unify_abv(F.lower(fold_accents(text)))
-    bare = F.regexp_replace(F.replace(folded, F.lit("_"), F.lit(" ")), r"(?U)(?<!\d)[^\w\s%](?!\d)|(?<=\d)[^\w\s%.,](?!\d)|(?<!\d)[^\w\s%](?=\d)", " ")
+    """Most texts are ASCII and letters once their accents are folded. These need no Unicode classes, and seldom a pattern, which costs far more than translate()."""
+    return _once(F.lower(fold_accents(text)), lambda x: F.when(_is_ascii(x) | ~x.rlike(r"[^\x00-\x7F\p{L}]"), _simple_bare(x)).otherwise(_bare(x)))
+
+
+def _bare(folded: Column) -> Column:
+    bare = F.regexp_replace(F.replace(unify_abv(folded), F.lit("_"), F.lit(" ")), r"(?U)(?<!\d)[^\w\s%](?!\d)|(?<=\d)[^\w\s%.,](?!\d)|(?<!\d)[^\w\s%](?=\d)", " ")
     return collapse_blanks(bare)
 
 
+def _simple_bare(folded: Column) -> Column:
+    """The same of lower-case ASCII and other letters."""
+    alcohol = folded.contains("alc") | folded.contains("abv") | folded.contains("vol")
+    unified = F.when(alcohol, unify_abv(folded)).otherwise(folded)
+    bare = _once(unified, lambda x: F.when(x.rlike("[0-9]" + MARK), F.regexp_replace(x, GAPS, " ")).otherwise(F.translate(x, MARKS, " " * len(MARKS))))
+    two, one = F.lit("  "), F.lit(" ")
+    bare = _once(F.replace(F.replace(bare, two, one), two, one), lambda x: F.when(x.contains("  "), F.regexp_replace(x, "  +", " ")).otherwise(x))
+    return F.trim(bare)
+
+
 def loose_equal(a, b) -> Column:
     """(SF7)"""
     return normalize_loose(a) == normalize_loose(b)
