@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from veriloom.functions import text as tx
+from veriloom.operators import lines
 
 
 def test_the_short_way_of_the_loose_form_equals_the_patterns(spark):
@@ -14,3 +15,13 @@ def test_the_short_way_of_the_loose_form_equals_the_patterns(spark):
     folded = F.lower(tx.fold_accents("text"))
     found = spark.createDataFrame(rows, "text string").select("text", tx._simple_bare(folded).alias("short"), tx._bare(folded).alias("wanted"), tx.normalize_loose("text").alias("loose"))
     assert found.where("not (short <=> wanted) or not (loose <=> wanted)").take(3) == []
+
+
+def test_two_passes_normalise_a_line_once(spark):
+    first = [(1, 0, "One, two"), (1, 1, "three."), (1, 2, "..."), (2, 0, "one two")]
+    second = [(1, 0, " one two  "), (1, 1, "Four!"), (1, 2, "four"), (1, 3, "--"), (2, 0, "three"), (3, 5, "new")]
+    frame = lambda rows: spark.createDataFrame(rows, "label_id long, line_no int, text string")
+    merged = lines.merge_passes(frame(first), frame(second))
+    got = sorted(tuple(r) for r in merged.select("label_id", "new_line", "pass", "line_no", "text").collect())
+    assert got == [(1, 0, 1, 0, "One, two"), (1, 1, 1, 1, "three."), (1, 2, 1, 2, "..."), (1, 3, 2, 1, "Four!"), (2, 0, 1, 0, "one two"), (2, 1, 2, 0, "three"), (3, 0, 2, 5, "new")]
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count(tx.PLAIN_TEXT) == 1
