@@ -178,6 +178,23 @@ def test_toxicity_fit_on_doubtful_labels_and_names(spark):
     assert toxicity.drop_toxic(docs.withColumn("toxicity", F.lit(1)), plain).columns == ["doc_id", "text", "toxic", "toxicity"]
 
 
+def test_toxicity_is_trained_in_tasks_as_by_one_process(spark, monkeypatch):
+    """The driver gets dictionaries and features, no texts: training on it took some 200 MB of its memory."""
+    rows = toxic_corpus(random.Random(9), 90) + [(90, "twice over", 0), (91, "twice over", 0), (92, None, 1)]
+    docs = spark.createDataFrame([r[:2] + ("s",) for r in rows], DOCS)
+    place = {r["doc_id"]: r["place"] for r in docs.select("doc_id", F.xxhash64("doc_id").alias("place")).collect()}
+    rows.sort(key=lambda r: place[r[0]])
+    sample = lambda of: [r[1] or "" for r in rows if of(r)]
+    labels = lambda of: spark.createDataFrame([(r[0], r[2]) for r in rows if of(r)], "doc_id long, toxic int")
+    few = lambda r: not r[2] or r[0] == 4
+    wanted = [toxicity.train(sample(lambda r: r[2] and of(r)), sample(lambda r: not r[2] and of(r)), sum(r[2] for r in rows if of(r)) / sum(1 for r in rows if of(r))) for of in (bool, few)]
+    here, found = [], toxicity._dictionaries
+    monkeypatch.setattr(toxicity, "_dictionaries", lambda *a: (here.append(a), found(*a))[1])
+    assert [toxicity.fit(docs.repartition(5), labels(of)) for of in (bool, few)] == wanted
+    assert not here
+    assert toxicity.fit(docs, labels(lambda r: r[2])).bias == 6 and toxicity.fit(docs, labels(lambda r: not r[2])).bias == -6
+
+
 # Quality
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -144,22 +145,24 @@ def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> Model:
     return Model((trained(toxic, *ALL), trained(ordinary, *ALL)), (trained(seeming[0], *SEEMING), trained(seeming[1], *SEEMING)))
 
 
-def train(toxic: list[str], ordinary: list[str], toxic_rate: float) -> Model:
-    """Dictionaries, and weights for the thresholds, calibrated at the true rate of toxic text on texts which the dictionaries have not seen. Repeated texts count once."""
-    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
-    if not toxic or not ordinary:
-        return Model(bias=6.0 if toxic else -6.0)
-    toxic_windows, ordinary_windows = [windows_of(t) for t in toxic], [windows_of(t) for t in ordinary]
-    x, y = [], []
+def _windows(texts: list[str]) -> list[list[str]]:
+    """The windows of each text; equal ones are one string, so a sample takes the memory of its distinct windows."""
+    held: dict[str, str] = {}
+    return [[held.setdefault(w, w) for w in windows_of(t)] for t in texts]
+
+
+def _marked(toxic: list[str], ordinary: list[str], k: int) -> tuple[np.ndarray, list[int]]:
+    """Features and classes of part k of the sample, by dictionaries of the other parts; none if the sample has no such part."""
     parts = min(PARTS, len(toxic), len(ordinary))
-    for k in range(parts):
-        without = lambda rows: [r for i, r in enumerate(rows) if i % parts != k] or rows  # noqa: B023, E731
-        scorer = Scorer(_dictionaries(without(toxic_windows), without(ordinary_windows)))
-        own, others = toxic[k::parts], ordinary[k::parts]
-        x += [scorer.features(t) for t in own + others]
-        y += [1] * len(own) + [0] * len(others)
-    x, y = np.array(x, float), np.array(y)
-    model = _dictionaries(toxic_windows, ordinary_windows)
+    if k >= parts:
+        return np.zeros((0, 0)), []
+    without = lambda texts: _windows([t for i, t in enumerate(texts) if i % parts != k] or texts)
+    scorer = Scorer(_dictionaries(without(toxic), without(ordinary)))
+    own, others = toxic[k::parts], ordinary[k::parts]
+    return np.array([scorer.features(t) for t in own + others], float), [1] * len(own) + [0] * len(others)
+
+
+def _calibrated(model: Model, x: np.ndarray, y: np.ndarray, toxic_rate: float) -> Model:
     model.mean, model.scale = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-9).tolist()
     share = np.where(y == 1, toxic_rate / y.sum(), (1 - toxic_rate) / (len(y) - y.sum())) * len(y)
     *weights, bias = _logistic((x - model.mean) / model.scale, y, share, 1.0).tolist()
@@ -167,13 +170,47 @@ def train(toxic: list[str], ordinary: list[str], toxic_rate: float) -> Model:
     return model
 
 
+def train(toxic: list[str], ordinary: list[str], toxic_rate: float) -> Model:
+    """Dictionaries, and weights for the thresholds, calibrated at the true rate of toxic text on texts which the dictionaries have not seen. Repeated texts count once."""
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+    if not toxic or not ordinary:
+        return Model(bias=6.0 if toxic else -6.0)
+    found = [(x, y) for x, y in (_marked(toxic, ordinary, k) for k in range(PARTS)) if y]
+    return _calibrated(_dictionaries(_windows(toxic), _windows(ordinary)), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), toxic_rate)
+
+
+#: What a task gives back: the classes and features (flat) of a part of the sample, or the classes that the sample has and its dictionaries.
+LEARNT = "part int, y array<int>, x array<double>, dictionaries array<binary>"
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the sample's rows (part, place, text, toxic), a copy for each part in a task of its own: one row of LEARNT. The last part is the whole sample."""
+    rows = sorted((p, t, y, k) for b in batches for k, p, t, y in zip(*(b.column(c).to_pylist() for c in ("part", "place", "text", "toxic"))))
+    if not rows:
+        return
+    part = rows[0][3]
+    toxic, ordinary = (list(dict.fromkeys(t for _, t, y, _ in rows if y == own)) for own in (1, 0))
+    rows.clear()
+    x, y, content = np.zeros(0), [], []
+    if part < PARTS:
+        x, y = _marked(toxic, ordinary, part)
+    else:
+        y = [1] * bool(toxic) + [0] * bool(ordinary)
+        if len(y) == 2:
+            model = _dictionaries(_windows(toxic), _windows(ordinary))
+            content = [*model.all, *model.seeming]
+    columns = [part], [y], [x.ravel().tolist()], [content]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.binary())))], ["part", "y", "x", "dictionaries"])
+
+
 def sampled(labels: DataFrame, n: int) -> DataFrame:
     """The first n of the rows (doc_id, ...) by a hash of the id; all, if there are no more."""
     return labels.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from labels (doc_id, toxic). At most TOXIC_SAMPLE and ORDINARY_SAMPLE of their documents are read to the driver.
+    """Learns from labels (doc_id, toxic), as train() does. Dictionaries are trained and texts read in tasks, one for each part of the sample and one for
+    the whole; only the dictionaries and the features reach the driver. At most TOXIC_SAMPLE and ORDINARY_SAMPLE of the labelled documents are the sample.
 
     Ids may be of any type. Rows with a null id or label are left out; an id with two labels is toxic; of documents that repeat an id the least
     text counts, null as empty. Without documents of one of the classes all texts score alike.
@@ -183,9 +220,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rate = toxic.count() / max(1, labels.count())
     ids = sampled(toxic, TOXIC_SAMPLE).union(sampled(ordinary, ORDINARY_SAMPLE)).withColumn("place", F.xxhash64("doc_id"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = texts.groupBy("place", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["place"], r["text"]))
-    return train([r["text"] for r in rows if r["toxic"]], [r["text"] for r in rows if not r["toxic"]], min(0.9, max(0.01, rate)))
+    rows = texts.groupBy("place", "doc_id", "toxic").agg(F.min("text").alias("text"))
+    copies = rows.select(F.explode(F.sequence(F.lit(0), F.lit(PARTS))).alias("part"), "place", "text", "toxic")
+    *parts, whole = sorted(copies.repartitionById(PARTS + 1, F.col("part")).mapInArrow(_learn, LEARNT).collect(), key=lambda r: r["part"]) or [None]
+    if whole is None or len(whole["y"]) < 2:
+        return Model(bias=6.0 if whole and whole["y"] == [1] else -6.0)
+    y = [np.array(r["y"]) for r in parts if r["y"]]
+    x = [np.array(r["x"]).reshape(len(r["y"]), -1) for r in parts if r["y"]]
+    a, b, c, d = map(bytes, whole["dictionaries"])
+    return _calibrated(Model((a, b), (c, d)), np.concatenate(x), np.concatenate(y), min(0.9, max(0.01, rate)))
 
 
 def score_column(model: Model):
