@@ -33,3 +33,16 @@ def test_a_word_of_several_tokens_and_lines_out_of_order(spark):
     assert lines == {0: [(1, "x"), (1, "y"), (1, "z"), (3, "c")], 1: [(0, "a"), (1, "b")]}
     wanted = spark.createDataFrame([(1, "k", 0, "z c a", None, None)], "label_id long, key string, part int, text string, line_start int, line_end int")
     assert sorted(tuple(r)[3:] for r in traced.run_words(words, wanted).collect()) == [(0, 1, True), (0, 2, True), (0, 3, True), (1, 0, True)]
+
+
+def test_texts_are_shuffled_once_and_lines_without_a_hyphen_not_looked_up(spark):
+    from veriloom.operators import statement
+
+    text = F.when(F.col("id") % 10 == 3, "an exam-").when(F.col("id") % 10 == 4, "ple-").when(F.col("id") % 10 == 5, "ase here").otherwise("no hyphen")
+    lines = spark.range(600).select((F.col("id") / 100).cast("int").alias("doc"), (F.col("id") % 100).cast("int").alias("line_no"), text.alias("text"), (F.col("id") * 2).alias("more")).coalesce(1)
+    found = statement.rejoin_hyphenated(lines, spark.createDataFrame([("example",), ("please",)], "word string").hint("merge"), "doc")
+    rows = sorted(tuple(r) for r in found.collect())
+    assert found.columns == lines.columns and len(rows) == 600
+    assert [t for _, _, t, _ in rows[3:6]] == ["an example-", "", "ase here"] and all(m == 2 * (100 * d + i) for d, i, _, m in rows)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("MapInArrow") == 2 and "LeftSemi" in plan.toString() and "isnotnull(_key_word" in plan.toString()
