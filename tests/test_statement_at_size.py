@@ -28,3 +28,15 @@ def test_starts_score_each_line_once(spark):
     assert sorted(tuple(r) for r in found.select("label_id", "frame", "start", "head_lines", "nth").collect()) == [(1, "a", 1, 2, 1), (1, "b", 0, 1, 1), (2, "a", 1, 0, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("ArrowEvalPython") <= 3
+
+
+def test_headings_are_weighed_in_one_pass_over_the_words(spark):
+    from veriloom.operators import passage
+
+    ink = [(label, 0, k, w, 20, 400 if k < 2 and label == 1 else 200, 200) for label in (1, 2) for k, w in enumerate("GOVERNMENT WARNING: ACCORDING THE SURGEON".split())]
+    words = spark.createDataFrame(ink, "label_id long, line_no int, word_no int, text string, height int, area int, boundary int")
+    statements = spark.createDataFrame([(i, [0], [0], "GOVERNMENT WARNING:") for i in (1, 2)], "label_id long, lines array<int>, head_lines array<int>, heading_text string")
+    found = passage.heading_weights(words, statements)
+    assert {r.label_id: (r.bold, r.bold_ratio) for r in found.collect()} == {1: ("PASS", 2.0), 2: ("REVIEW", 1.0)}
+    once = passage.heading_words(words, statements)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == once + 3  # the words and their lines, and the labels
